@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 
 from slabmill.functions import dates
 from slabmill.plans import catalyst, factors, index
+from slabmill.session import stage
 from slabmill.sources.bridge import Bridge
 
 SALES_AS_OF = "2000-01-01"
@@ -17,6 +19,9 @@ EVENTS_AS_OF = "2024-01-25"
 weeks_in_k = partial(catalyst.injury_weight, weeks_key="k")
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Market(Bridge):
     @property
     def as_of(self):
@@ -26,9 +31,17 @@ class Market(Bridge):
     def events_as_of(self):
         return dates.end_of_day(EVENTS_AS_OF)
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, written once per session and source folder, then read."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            _STORED[key] = stage(build(), name)
+        return _STORED[key]
+
     @cached_property
     def factor_panel(self) -> DataFrame:
-        return factors.factor_panel(self.tx_clean, self.card_master, self.as_of)
+        """One row per card; targets, exits, features and reports all read it."""
+        return self.stored("factor_panel", lambda: factors.factor_panel(self.tx_clean, self.card_master, self.as_of))
 
     @cached_property
     def level_index(self) -> DataFrame:
@@ -36,4 +49,4 @@ class Market(Bridge):
 
     @cached_property
     def weekly_index(self) -> DataFrame:
-        return index.repeat_sales_index(self.tx_clean, self.card_master)
+        return self.stored("repeat_sales_index", lambda: index.repeat_sales_index(self.tx_clean, self.card_master))

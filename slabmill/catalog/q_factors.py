@@ -125,7 +125,7 @@ def _(m):
 
 @query("d05_factor_panel", "select * from factor_panel", **MOM, **LIQ)
 def _(m):
-    return m.factor_panel
+    return factors.factor_panel(m.tx_clean, m.card_master, m.as_of)
 
 
 @query("w06_volume_weighted_returns", f"""
@@ -309,7 +309,7 @@ def _(m):
 
 @query("d02_repeat_sales_index", index_value=6, se=6)
 def _(m):
-    return m.weekly_index
+    return index.repeat_sales_index(m.tx_clean, m.card_master)
 
 
 @query("d02_repeat_sales_index_monthly", index_value=6, se=6)

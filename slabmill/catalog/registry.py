@@ -45,7 +45,7 @@ def query(name: str, sql: str | None = None, **decimals: int):
 
 
 def _needed(sql: str, seen: list[str]) -> None:
-    for word in dict.fromkeys(re.findall(r"[a-z_][a-z0-9_]*", sql)):
+    for word in dict.fromkeys(re.findall(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)", sql)):
         if word in _VIEWS and word not in seen:
             _needed(_VIEWS[word], seen)
             if word not in seen:

@@ -53,7 +53,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/slabmill/{label}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one, grouped by application so it can be purged."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/slabmill/{app}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to shared storage and read it back.
+
+    Later steps then start from a short plan with known sizes, and losing an
+    executor costs nothing that is already written.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from slabmill.catalog import (  # noqa: F401
     q_factors,
+    q_portfolio,
     q_pricing,
 )
 from slabmill.catalog.registry import oracle_sql, queries

@@ -102,20 +102,23 @@ def next_row(
     order: Sequence[str],
     columns: Mapping[str, str],
     segment: str = "month",
+    back: bool = False,
 ) -> DataFrame:
     """Add columns of the following row per key (``lead``), segment by segment.
 
     ``order[0]`` must be a timestamp; ``columns`` maps output name to source.
+    ``back`` takes the preceding row instead (``lag``).
     """
     keys = list(keys)
+    shift, edge = (F.lag, F.max_by) if back else (F.lead, F.min_by)
     df = df.withColumn("_seg", F.date_trunc(segment, F.col(order[0])))
     payload = F.struct(*[F.col(src).alias(dst) for dst, src in columns.items()])
     order_key = F.struct(*[F.col(c) for c in order])
     within = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    local = df.withColumn("_next", F.lead(payload).over(within))
-    firsts = df.groupBy(*keys, "_seg").agg(F.min_by(payload, order_key).alias("_first"))
-    follow = firsts.select(
-        *keys, "_seg", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_seg")).alias("_after")
+    local = df.withColumn("_next", shift(payload).over(within))
+    edges = df.groupBy(*keys, "_seg").agg(edge(payload, order_key).alias("_edge"))
+    follow = edges.select(
+        *keys, "_seg", shift("_edge").over(Window.partitionBy(*keys).orderBy("_seg")).alias("_after")
     )
     out = local.join(follow, [*keys, "_seg"], "left")
     best = F.coalesce(F.col("_next"), F.col("_after"))

@@ -4,6 +4,7 @@ from slabmill.catalog import (  # noqa: F401
     q_factors,
     q_portfolio,
     q_pricing,
+    q_scouting,
     q_text,
 )
 from slabmill.catalog.registry import oracle_sql, queries

@@ -95,28 +95,35 @@ def exact_quantiles(
     return found.select(*keys, *columns)
 
 
-def tie_percent_rank(
-    df: DataFrame,
-    value: str,
-    out: str,
-    parts: Sequence[str] = (),
-    bucket: Callable[[Column], Column] = value_bucket,
+def count_below(
+    df: DataFrame, value: str, parts: Sequence[str] = (), bucket: Callable[[Column], Column] = value_bucket
 ) -> DataFrame:
-    """Add tie-averaged rank / non-null count (pandas ``rank(pct=True)``)."""
+    """Add ``_below``, ``_same`` and ``_total``: rows of the partition under, at and with any value."""
     parts = list(parts)
     df = reuse(df)
     counts = _value_counts(df, parts, value, bucket)
     edges = _bucket_edges(counts, parts).drop("_bn")
     inner = Window.partitionBy(*parts, "_b").orderBy("_v")
-    ranked = (
-        counts.join(edges, [*parts, "_b"])
-        .withColumn("_below", F.col("_before") + F.sum("_n").over(inner) - F.col("_n"))
-        .select(*parts, "_v", ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total")).alias(out))
+    ranked = counts.join(edges, [*parts, "_b"]).select(
+        *parts, "_v", (F.col("_before") + F.sum("_n").over(inner) - F.col("_n")).alias("_below"), F.col("_n").alias("_same"), "_total"
     )
     keyed = df.withColumn("_v", F.col(value).cast("double"))
     return keyed.join(ranked, [*parts, "_v"], "left").drop("_v")
 
 
+def tie_percent_rank(
+    df: DataFrame,
+    value: str,
+    out: str,
+    parts: Sequence[str] = (),
+    bucket: Callable[[Column], Column] = value_bucket,
+) -> DataFrame:
+    """Add tie-averaged rank / non-null count (pandas ``rank(pct=True)``)."""
+    counted = count_below(df, value, parts, bucket)
+    share = (F.col("_below") + (F.col("_same") + 1) / 2) / F.col("_total")
+    return counted.withColumn(out, share).drop("_below", "_same", "_total")
+
+
 def spread_row_number(
     df: DataFrame,
     out: str,

@@ -4,6 +4,7 @@ from slabmill.catalog import (  # noqa: F401
     q_factors,
     q_portfolio,
     q_pricing,
+    q_reports,
     q_scouting,
     q_text,
 )

@@ -2,6 +2,7 @@
 
 from slabmill.catalog import (  # noqa: F401
     q_factors,
+    q_io,
     q_portfolio,
     q_pricing,
     q_reports,

@@ -29,12 +29,13 @@ def unit_bucket(width: float) -> Callable[[Column], Column]:
     return lambda value: F.floor(value / width).cast("long")
 
 
-def _value_counts(df: DataFrame, keys: Sequence[str], value: str, bucket) -> DataFrame:
+def _value_counts(df: DataFrame, keys: Sequence[str], value: str, bucket, weight: str | None = None) -> DataFrame:
+    size = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     return (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
+        df.select(*keys, F.col(value).cast("double").alias("_v"), size.alias("_w"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_w").alias("_n"))
         .withColumn("_b", bucket(F.col("_v")))
     )
 
@@ -56,10 +57,14 @@ def exact_quantiles(
     outputs: Mapping[str, float],
     count_as: str | None = None,
     bucket: Callable[[Column], Column] = value_bucket,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles of ``value`` per ``keys`` (none = whole table)."""
+    """Linear-interpolated quantiles of ``value`` per ``keys`` (none = whole table).
+
+    ``weight`` names a column saying how many observations a row stands for.
+    """
     keys = list(keys)
-    counts = _value_counts(df, keys, value, bucket)
+    counts = _value_counts(df, keys, value, bucket, weight)
     edges = _bucket_edges(counts, keys)
     last = F.col("_total") - 1
 

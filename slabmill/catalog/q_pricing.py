@@ -304,13 +304,20 @@ def _(m):
 
 
 # --- grading ------------------------------------------------------------------------------
+def _even(x: str, n: int) -> str:
+    """Half-even rounding of a double by its decimal digits."""
+    y = f"(cast(cast({x} as varchar) as decimal(30, 12)) * {10**n})"
+    up = f"{y} - floor({y}) > 0.5 or ({y} - floor({y}) = 0.5 and floor({y}) % 2 = 1)"
+    return f"((floor({y}) + case when {up} then 1 else 0 end) / {10.0**n}::double)"
+
+
 view("latest_pop", f"""
 select card_id, coalesce(sum(pop_count) filter (grade = 10), 0) p10, coalesce(sum(pop_count) filter (grade = 9), 0) p9,
  coalesce(sum(pop_count) filter (grade = 8), 0) p8
 from (select *, max(snapshot_date) over (partition by card_id) mx from pop_snapshots where grader = 'PSA' and snapshot_date <= {AS_OF}) s
 where snapshot_date = mx group by 1""")
-view("gem_rates", """
-select card_id, case when p10 + p9 + p8 > 0 then round((10 + p10) / (20 + p10 + p9 + p8), 4) else 0.5 end gem_rate,
+view("gem_rates", f"""
+select card_id, case when p10 + p9 + p8 > 0 then {_even('(10 + p10) / (20 + p10 + p9 + p8)', 4)} else 0.5 end gem_rate,
  cast(p10 + p9 + p8 as bigint) sample_size, case when p10 + p9 + p8 > 0 then p10 / (p10 + p9 + p8) end raw_rate, cast(p10 as bigint) p10_pop from latest_pop""")
 view("growth_shares", f"""
 select card_id, {', '.join(f'''case when sum(pop_count) filter (grade in (8, 9, 10) and snapshot_date = l{d}) - coalesce(sum(pop_count) filter (grade in (8, 9, 10) and snapshot_date = f{d}), 0) > 0
@@ -327,14 +334,15 @@ where slab_grader = 'PSA' and sold_at < {AS_OF} group by 1 having p10_price is n
 
 
 def _ev_sql(trend: bool) -> str:
-    factor = "case when share_365 <> 0 and share_365 - share_90 >= 0.05 then round(share_90 / share_365, 4) else 1.0 end" if trend else "1.0"
+    factor = f"case when share_365 <> 0 and share_365 - share_90 >= 0.05 then {_even('share_90 / share_365', 4)} else 1.0 end" if trend else "1.0"
+    exact = ("cast(gem as decimal(6, 4)) * cast(n10 as decimal(14, 2)) + (1 - cast(gem as decimal(6, 4))) * cast(n9 as decimal(14, 2)) - 24.99"
+             " - coalesce(cast(raw_price as decimal(24, 12)), 0)")
     return f"""
-select *, case when raw_price > 0 then round(ev / raw_price, 4) end ev_per_dollar from (
- select card_id, cast({AS_OF} as date) as_of_date, 'value_bulk' grade_tier, gem gem_rate, p10_price, p9_price, 24.99 cost_to_grade, raw_price,
-  round(gem * round(p10_price * (1 - 0.1325) - 0.30, 2) + (1 - gem) * round(p9_price * (1 - 0.1325) - 0.30, 2) - 24.99 - coalesce(raw_price, 0), 2) ev,
-  p10_pop, sample_size from (
+select *, case when raw_price > 0 then {_even('ev / raw_price', 4)} end ev_per_dollar from (
+ select card_id, cast({AS_OF} as date) as_of_date, 'value_bulk' grade_tier, gem gem_rate, p10_price, p9_price, 24.99::double cost_to_grade, raw_price,
+  {_even(exact, 2)} ev, p10_pop, sample_size from (
   select p.card_id, p10_price, p9_price, raw_price, coalesce(p10_pop, 0) p10_pop, coalesce(sample_size, 0) sample_size,
-   round(coalesce(gem_rate, 0.5) * {factor}, 4) gem
+   {_even('p10_price * 0.8675 - 0.30', 2)} n10, {_even('p9_price * 0.8675 - 0.30', 2)} n9, {_even(f'coalesce(gem_rate, 0.5) * {factor}', 4)} gem
   from graded_prices p left join gem_rates g on g.card_id = p.card_id left join raw_prices r on r.card_id = p.card_id
   left join growth_shares s on s.card_id = p.card_id) a) b"""
 
@@ -380,15 +388,15 @@ def _(m):
     return _ev(m, trend=True)
 
 
-@query("f35_gem_trend", """
-select card_id, case when share_365 <> 0 and share_365 - share_90 >= 0.05 then round(share_90 / share_365, 4) else 1.0 end factor from growth_shares""", factor=4)
+@query("f35_gem_trend", f"""
+select card_id, case when share_365 <> 0 and share_365 - share_90 >= 0.05 then {_even('share_90 / share_365', 4)} else 1.0 end factor from growth_shares""", factor=4)
 def _(m):
     shares = grading.growth_shares(m.pop_snapshots, m.as_of)
     return shares.select("card_id", money.gem_trend(F.col("share_90"), F.col("share_365")).alias("factor"))
 
 
 @query("f36_grading_ev_formula", """
-select card_id, round(0.4 * p10_price + 0.6 * p9_price - 24.99, 4) ev from graded_prices""", ev=4)
+select card_id, 0.4 * p10_price + 0.6 * p9_price - 24.99 ev from graded_prices""", ev=4)
 def _(m):
     p = grading.graded_prices(m.tx_clean, m.as_of)
     return p.select("card_id", money.grading_ev(F.lit(0.4), F.col("p10_price"), F.col("p9_price"), F.lit(24.99), F.lit(None)).alias("ev"))

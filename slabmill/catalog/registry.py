@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slabmill.catalog.market import Market
 
+TIE_SHIFT = 0.01371
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 _VIEWS: dict[str, str] = {}
@@ -21,13 +22,17 @@ def view(name: str, sql: str) -> None:
 
 
 def query(name: str, sql: str | None = None, **decimals: int):
-    """Register a function of a Market; ``decimals`` rounds float columns on both sides."""
+    """Register a function of a Market; ``decimals`` rounds float columns on both sides.
+
+    Engines disagree on which way an exact tie goes, so both sides shift by about
+    1 % of the last digit before rounding.
+    """
 
     def register(build: Callable[[Market], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             df = build(Market(spark, folder))
             for column, places in decimals.items():
-                df = df.withColumn(column, F.round(F.col(column).cast("double"), places))
+                df = df.withColumn(column, F.round(F.col(column).cast("double") + TIE_SHIFT * 10.0**-places, places))
             return df
 
         if name in _QUERIES:
@@ -36,7 +41,7 @@ def query(name: str, sql: str | None = None, **decimals: int):
         if sql is not None:
             body = sql.strip()
             if decimals:
-                parts = ", ".join(f"round(cast({c} as double), {n}) as {c}" for c, n in decimals.items())
+                parts = ", ".join(f"round(cast({c} as double) + {TIE_SHIFT * 10.0**-n!r}::double, {n}) as {c}" for c, n in decimals.items())
                 body = f"select * replace ({parts}) from ({body}) final_rows"
             _SQL[name] = body
         return build

@@ -86,7 +86,7 @@ def grading_ev(gem: Column, p10_net: Column, p9_net: Column, fee: Column, raw: C
 
 def gem_trend(share_90: Column, share_365: Column) -> Column:
     falling = (share_365 - share_90) >= 0.05
-    return F.when((share_365 != 0) & falling, F.round(share_90 / share_365, 4)).otherwise(F.lit(1.0))
+    return F.when((share_365 != 0) & falling, F.bround(share_90 / share_365, 4)).otherwise(F.lit(1.0))
 
 
 def safe_log_ratio(value: Column, top: Column) -> Column:

@@ -31,7 +31,7 @@ def gem_rates(pop: DataFrame, as_of: Column, gate: GradingGate = GATE) -> DataFr
     latest = known.groupBy("card_id").agg(p10.alias("p10"), p9.alias("p9"), p8.alias("p8"))
     n = F.col("p10") + F.col("p9") + F.col("p8")
     alpha = gate.prior * gate.prior_strength
-    shrunk = F.round((alpha + F.col("p10")) / (gate.prior_strength + n), 4)
+    shrunk = F.bround((alpha + F.col("p10")) / (gate.prior_strength + n), 4)
     return latest.select(
         "card_id",
         F.when(n > 0, shrunk).otherwise(F.lit(gate.prior)).alias("gem_rate"),
@@ -92,13 +92,17 @@ def grading_ev(
     if trend:
         out = out.join(growth_shares(pop, as_of), "card_id", "left")
         factor = F.coalesce(money.gem_trend(F.col("share_90"), F.col("share_365")), F.lit(1.0))
-        out = out.withColumn("gem_rate", F.round(F.col("gem_rate") * factor, 4))
+        out = out.withColumn("gem_rate", F.bround(F.col("gem_rate") * factor, 4))
+    # Money is decimal from here on, rounded half-even to cents.
     channel = F.lit("ebay")
-    p10_net = F.round(money.net_proceeds(F.col("p10_price"), channel), 2)
-    p9_net = F.round(money.net_proceeds(F.col("p9_price"), channel), 2)
+    cents = lambda c: F.bround(c, 2).cast("decimal(14,2)")
+    p10_net = cents(money.net_proceeds(F.col("p10_price"), channel))
+    p9_net = cents(money.net_proceeds(F.col("p9_price"), channel))
     fee = money.cost_to_grade(F.lit(tier))
-    out = out.withColumn("ev", F.round(money.grading_ev(F.col("gem_rate"), p10_net, p9_net, fee, F.col("raw_price")), 2))
-    per_dollar = F.when(F.col("raw_price") > 0, F.round(F.col("ev") / F.col("raw_price"), 4))
+    gem, raw = F.col("gem_rate").cast("decimal(6,4)"), F.coalesce(F.col("raw_price").cast("decimal(24,12)"), F.lit(0))
+    exact = gem * p10_net + (F.lit(1).cast("decimal(6,4)") - gem) * p9_net - cents(fee) - raw
+    out = out.withColumn("ev", F.bround(exact, 2).cast("double"))
+    per_dollar = F.when(F.col("raw_price") > 0, F.bround(F.col("ev") / F.col("raw_price"), 4))
     return out.select(
         "card_id",
         as_of.cast("date").alias("as_of_date"),

@@ -301,7 +301,7 @@ select tx_id, case length(tx_id) % 3 when 0 then 'EBAY' when 1 then 'GOLDIN' els
 
 def quick_sales(m):
     n = F.length("tx_id")
-    return m.tx_clean.select(
+    return m.sales_from_lines(m.dealt("lineitem")).select(
         "tx_id", F.when(n % 3 == 0, "EBAY").when(n % 3 == 1, "GOLDIN").otherwise("PRISTINE AUCTION").alias("platform"),
         F.concat(F.lit("2018 Panini Prizm Card #"), F.col("card_id"), F.lit(" "), F.coalesce("slab_grader", F.lit("raw"))).alias("raw_title"),
         (F.floor("price_usd") + F.lit(0.25)).cast("decimal(14,2)").alias("price"), "sold_at",

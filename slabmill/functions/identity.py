@@ -108,10 +108,10 @@ def normalize_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(title, F.lit("≈"), F.lit(" ")), r"\s+", " "))
 
 
-def player_name(title: Column, query: Column) -> Column:
-    """Leading words of the search query, else the first known name in the title."""
+def player_name(low: Column, query: Column) -> Column:
+    """Leading words of the search query, else the first known name in the lower-cased title."""
     searched = F.nullif(F.trim(F.regexp_replace(query, QUERY_TAIL, "")), F.lit(""))
-    known = first_match(F.lower(title), [(n.lower(), n) for n in KNOWN_PLAYERS], F.lit(None))
+    known = first_match(low, [(n.lower(), n) for n in KNOWN_PLAYERS], F.lit(None))
     return F.coalesce(searched, known)
 
 
@@ -121,7 +121,7 @@ def card_number(title: Column) -> Column:
 
 
 def parallel_phrases(low: Column) -> Column:
-    hits = [F.when(low.rlike(rf"(?<![a-z0-9]){p.lower()}(?![a-z0-9])"), p) for p in PARALLELS]
+    hits = [F.when(low.contains(p.lower()) & low.rlike(rf"(?<![a-z0-9]){p.lower()}(?![a-z0-9])"), p) for p in PARALLELS]
     return F.filter(F.array(*hits), lambda p: p.isNotNull())
 
 
@@ -169,12 +169,12 @@ IDENTITY_FIELDS = (
 def with_identity(df: DataFrame, title: Column, query: Column, name: str = "i") -> DataFrame:
     """Add a struct with the canonical key, every identity field, confidence and evidence."""
     df = compute_once(df, "_s", normalize_title(title).alias("text"), query.alias("query"))
-    text, low = F.col("_s.text"), F.lower("_s.text")
+    text, low = F.col("_s.text"), F.col("_low.v")
     df = compute_once(
-        df,
+        compute_once(df, "_low", F.lower("_s.text").alias("v")),
         "_f",
         low.alias("low"),
-        player_name(text, F.col("_s.query")).alias("player_name"),
+        player_name(low, F.col("_s.query")).alias("player_name"),
         first_match(low, SETS, F.lit(None)).alias("set_name"),
         first_match(low, MANUFACTURERS, F.lit(None)).alias("maker"),
         titles.year(text).alias("card_year"),
@@ -215,4 +215,4 @@ def with_identity(df: DataFrame, title: Column, query: Column, name: str = "i")
         (confidence < REVIEW_BELOW).alias("needs_review"),
         evidence.alias("evidence_json"),
     )
-    return df.withColumn(name, out).drop("_s", "_f", "_i")
+    return df.withColumn(name, out).drop("_s", "_low", "_f", "_i")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +23,7 @@ LISTING_TYPES = ("Best Offer", "Auction", "Buy Now", "Fixed Price")
 PRICE = r"(?i)\bPrice\s+\$([0-9][0-9,]*(?:\.[0-9]{2})?)\b"
 DATE = r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},\s+\d{4}\b"
 TITLE_YEAR = r"\b(?:19|20)\d{2}(?:-\d{2})?\b"
+STARTS = "(?i)^(" + "|".join(PLATFORMS) + ")"
 SOURCE = "cardladder_manual"
 SEARCH_URL = "https://app.cardladder.com/sales-history?sort=date&direction=desc&q="
 
@@ -35,10 +33,7 @@ def squeeze(text: Column) -> Column:
 
 
 def platform(record: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name in reversed(PLATFORMS):
-        out = F.when(F.upper(record).startswith(name), name).otherwise(out)
-    return out
+    return F.upper(F.nullif(F.regexp_extract(record, STARTS, 1), F.lit("")))
 
 
 def split_records(text: Column) -> Column:
@@ -48,13 +43,11 @@ def split_records(text: Column) -> Column:
 
     def step(acc: Column, line: Column) -> Column:
         current, done = acc["open"], acc["done"]
-        opens = reduce(or_, [F.upper(line).startswith(p) for p in PLATFORMS])
-        started = current != ""
-        headless = reduce(or_, [F.upper(current).startswith(p) for p in PLATFORMS])
+        opens, started, headed = line.rlike(STARTS), current != "", current.rlike(STARTS)
         complete = current.rlike(PRICE) & current.rlike(DATE)
         joined = F.when(started, F.concat_ws(" ", current, line)).otherwise(line)
         return (
-            F.when(started & opens & ~headless, F.struct(done.alias("done"), line.alias("open")))
+            F.when(started & opens & ~headed, F.struct(done.alias("done"), line.alias("open")))
             .when(started & opens & complete, F.struct(F.array_append(done, current).alias("done"), line.alias("open")))
             .otherwise(F.struct(done.alias("done"), joined.alias("open")))
         )
@@ -64,10 +57,13 @@ def split_records(text: Column) -> Column:
     )
 
 
-def _listing_type(record: Column, price_end: Column, date_start: Column) -> Column:
+def _sale_suffix(record: Column, price_end: Column, date_start: Column) -> Column:
     between = F.substring(record, price_end + 1, F.greatest(date_start - price_end, F.lit(0)))
-    suffix = F.lower(squeeze(F.regexp_replace(between, r"(?i)\bverified\b", " ")))
-    prefix = F.upper(F.substring(record, F.lit(1), price_end))
+    return F.lower(squeeze(F.regexp_replace(between, r"(?i)\bverified\b", " ")))
+
+
+def _listing_type(suffix: Column, prefix: Column) -> Column:
+    """First listing type named after the price, else before it."""
     out = F.lit(None).cast("string")
     for kind in reversed(LISTING_TYPES):
         out = F.when(prefix.contains(kind.upper()), kind).otherwise(out)
@@ -76,15 +72,22 @@ def _listing_type(record: Column, price_end: Column, date_start: Column) -> Colu
     return out
 
 
-def _title(record: Column, seller: Column, price_start: Column) -> Column:
-    head = F.trim(F.substring(record, F.lit(1), price_start))
-    head = F.trim(F.substring(head, F.length(seller) + 1, F.length(head)))
-    head = F.trim(F.regexp_replace(head, r"(?i)^\(?CONFIRMED PAID\)?\s+", ""))
-    from_year = F.trim(F.substring(head, F.regexp_instr(head, F.lit(TITLE_YEAR)), F.length(head)))
-    no_dash = F.trim(F.regexp_replace(head, r"^[- ]+", ""))
-    dashed = (seller == "EBAY") & head.startswith("-")
-    head = F.when(dashed, F.when(head.rlike(TITLE_YEAR), from_year).otherwise(no_dash)).otherwise(head)
-    return F.trim(F.regexp_replace(head, r"(?i)^(?:(?:BUY NOW|AUCTION|FIXED PRICE|BEST OFFER)\s*)+", ""))
+REST = 1 << 20
+
+
+def _head(record: Column, seller: Column, price_start: Column) -> Column:
+    """Text between the platform and the price, without a paid marker."""
+    skip = F.length(seller)
+    between = F.trim(F.substring(record, skip + 1, F.greatest(price_start - skip, F.lit(0))))
+    return F.trim(F.regexp_replace(between, r"(?i)^\(?CONFIRMED PAID\)?\s+", ""))
+
+
+def _title(head: Column, seller: Column) -> Column:
+    """Title without a marketplace seller's leading dash text and leading sale words."""
+    at_year = F.regexp_instr(head, F.lit(TITLE_YEAR))
+    undashed = F.when(at_year > 0, F.substring(head, at_year, F.lit(REST))).otherwise(F.regexp_replace(head, r"^[- ]+", ""))
+    named = F.when((seller == "EBAY") & head.startswith("-"), undashed).otherwise(head)
+    return F.trim(F.regexp_replace(F.trim(named), r"(?i)^(?:(?:BUY NOW|AUCTION|FIXED PRICE|BEST OFFER)\s*)+", ""))
 
 
 def with_record_fields(df: DataFrame, record: Column, name: str = "s") -> DataFrame:
@@ -103,11 +106,18 @@ def with_record_fields(df: DataFrame, record: Column, name: str = "s") -> DataFr
     r = lambda field: F.col(f"_r.{field}")
     price_end = r("price_start") + F.length(r("price_text"))
     date_start = F.length(text) - r("after") - F.length(r("last"))
+    df = compute_once(
+        df,
+        "_h",
+        _head(text, r("seller"), r("price_start")).alias("head"),
+        _sale_suffix(text, price_end, date_start).alias("suffix"),
+        F.upper(F.substring(text, F.lit(1), price_end)).alias("prefix"),
+    )
     df = compute_once(
         df,
         "_t",
-        _title(text, r("seller"), r("price_start")).alias("title"),
-        _listing_type(text, price_end, date_start).alias("kind"),
+        _title(F.col("_h.head"), r("seller")).alias("title"),
+        _listing_type(F.col("_h.suffix"), F.col("_h.prefix")).alias("kind"),
     )
     title, kind = F.col("_t.title"), F.col("_t.kind")
     warnings = F.filter(
@@ -124,7 +134,7 @@ def with_record_fields(df: DataFrame, record: Column, name: str = "s") -> DataFr
         warnings.alias("warnings"),
     )
     whole = r("seller").isNotNull() & r("price_text").isNotNull() & r("last").isNotNull()
-    return df.withColumn(name, F.when(whole, fields)).drop("_x", "_r", "_t")
+    return df.withColumn(name, F.when(whole, fields)).drop("_x", "_r", "_h", "_t")
 
 
 def quick_record(seller: Column, title: Column, price: Column, sold: Column, kind: Column, verified: Column) -> Column:

@@ -92,10 +92,9 @@ def implied_manufacturer(set_name: Column) -> Column:
 
 def with_title_fields(df: DataFrame, title: str = "raw_title", name: str = "p") -> DataFrame:
     """Add a struct with every title field, the confidence and the method."""
-    text = F.col(title)
-    low = F.lower(text)
+    text, low = F.col(title), F.col("_low.v")
     df = compute_once(
-        df,
+        compute_once(df, "_low", F.lower(text).alias("v")),
         "_t",
         year(text).alias("card_year"),
         first_match(low, MANUFACTURERS, F.lit(None)).alias("maker"),
@@ -137,4 +136,4 @@ def with_title_fields(df: DataFrame, title: str = "raw_title", name: str = "p")
         F.round(F.least(score, F.lit(1.0)), 3).alias("confidence"),
         F.when(raw_card, "regex_raw").otherwise("regex").alias("method"),
     )
-    return df.withColumn(name, fields).drop("_t")
+    return df.withColumn(name, fields).drop("_t", "_low")

@@ -11,6 +11,7 @@ from slabmill.functions import sale_text
 from slabmill.functions.identity import IDENTITY_FIELDS, canonical_key, with_identity
 from slabmill.functions.titles import with_title_fields
 from slabmill.operators.asof import first_by, latest_by
+from slabmill.session import stage
 
 CARD_KEY = ["card_year", "manufacturer", "set_name", "card_number", "parallel"]
 SOLD_SOURCES = ("ebay",)
@@ -112,8 +113,10 @@ def review_actions(candidates: DataFrame, actions: DataFrame) -> DataFrame:
     """
     last = latest_by(actions, ["raw_id"], ["seq"])
     edits = [f for f in IDENTITY_FIELDS if f"new_{f}" in actions.columns]
-    joined = candidates.join(last, "raw_id", "left")
-    act = F.coalesce(F.col("action"), F.lit(""))
+    # Reviewers touch few rows; only those carry the key and JSON work.
+    untouched = candidates.join(last.select("raw_id"), "raw_id", "left_anti")
+    joined = candidates.join(last, "raw_id")
+    act = F.col("action")
     update = act == "update"
     fields = {
         f: F.when(update, F.coalesce(F.nullif(F.col(f"new_{f}"), F.lit("")) if f in TEXT_FIELDS else F.col(f"new_{f}"), F.col(f))).otherwise(F.col(f))
@@ -131,7 +134,7 @@ def review_actions(candidates: DataFrame, actions: DataFrame) -> DataFrame:
         },
     )
     settled = act.isin("approve", "update", "reject")
-    return joined.select(
+    touched = joined.select(
         "raw_id",
         F.when(update, canonical_key(fields)).otherwise(F.col("canonical_key")).alias("canonical_key"),
         *[fields[f].alias(f) for f in IDENTITY_FIELDS],
@@ -139,6 +142,7 @@ def review_actions(candidates: DataFrame, actions: DataFrame) -> DataFrame:
         (F.col("needs_review") & ~settled).alias("needs_review"),
         F.when(settled, evidence).otherwise(F.col("evidence_json")).alias("evidence_json"),
     )
+    return touched.unionByName(untouched.select(*touched.columns))
 
 
 TEXT_FIELDS = ("player_name", "manufacturer", "set_name", "subset", "card_number", "parallel", "slab_grader")
@@ -154,7 +158,7 @@ def manual_corrections(failures: DataFrame, corrections: DataFrame) -> tuple[Dat
 
 
 def sales_to_raw(sales: DataFrame) -> DataFrame:
-    """Raw rows of imported sales with a stable external id, one per id."""
+    """Raw rows of imported sales with a stable external id, one per id with its number of copies."""
     ext = sale_text.stable_external_id(
         F.col("external_sale_id"), F.col("platform"), F.col("raw_title"), F.col("sold_at"), F.col("price_usd"),
         F.col("listing_type"), F.col("raw_text"),
@@ -169,25 +173,28 @@ def sales_to_raw(sales: DataFrame) -> DataFrame:
         "sold_at",
         F.to_json(F.struct(*keep)).alias("raw_json"),
     )
-    return first_by(raw, ["external_id"], ["raw_json"])
+    rest = [c for c in raw.columns if c != "external_id"]
+    one = raw.groupBy("external_id").agg(F.min_by(F.struct(*rest), "raw_json").alias("_r"), F.count(F.lit(1)).alias("copies"))
+    return one.select("external_id", "_r.*", "copies")
 
 
 def import_sales(sales: DataFrame, stored: DataFrame, card: DataFrame, allow_clean: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new raw rows, new clean rows, one row of counts); known external ids are skipped."""
-    fresh = sales_to_raw(sales).join(stored.where(F.col("source") == sale_text.SOURCE).select("external_id"), "external_id", "left_anti")
-    fresh = fresh.withColumn("raw_id", F.col("external_id"))
-    good, bad = confidence_gate(with_title_fields(fresh))
-    clean = clean_rows(good, card, "cardladder_") if allow_clean else clean_rows(good, card).limit(0)
-    total = sales.agg(F.count(F.lit(1)).alias("n")).scalar()
-    done = good.agg(F.count(F.lit(1)).alias("n")).scalar() if allow_clean else F.lit(0)
-    failed = bad.agg(F.count(F.lit(1)).alias("n")).scalar() if allow_clean else F.lit(0)
+    raw = stage(sales_to_raw(sales), "import_raw")
+    fresh = raw.join(stored.where(F.col("source") == sale_text.SOURCE).select("external_id"), "external_id", "left_anti")
+    fresh = stage(with_title_fields(fresh.withColumn("raw_id", F.col("external_id"))), "import_parsed")
+    good, bad = confidence_gate(fresh)
+    if not allow_clean:
+        good, bad = good.limit(0), bad.limit(0)
+    total = raw.agg(F.sum("copies").alias("n")).scalar()
+    done, failed = (d.agg(F.count(F.lit(1)).alias("n")).scalar() for d in (good, bad))
     counts = fresh.agg(F.count(F.lit(1)).alias("inserted_raw")).select(
         "inserted_raw",
-        done.cast("bigint").alias("inserted_clean"),
-        (total - F.col("inserted_raw")).alias("skipped_duplicates"),
-        failed.cast("bigint").alias("failed_clean"),
+        done.alias("inserted_clean"),
+        (F.coalesce(total, F.lit(0)) - F.col("inserted_raw")).alias("skipped_duplicates"),
+        failed.alias("failed_clean"),
     )
-    return fresh, clean, counts
+    return fresh.drop("p", "copies"), clean_rows(good, card, "cardladder_"), counts
 
 
 def unmapped_specs(card: DataFrame, spec_map: DataFrame) -> DataFrame:

@@ -383,8 +383,8 @@ def _(m):
 
 
 @query("d57_career_outcomes", """
-select 'u' || user_id br_slug, sum(value) career_bpm_5y from (select *, row_number() over (partition by user_id order by event_id) i from events where event_type <> 'error') x where i <= 5 group by 1""",
-       career_bpm_5y=5)
+select 'u' || user_id || '-' || event_id // 100 br_slug, sum(value) career_bpm_5y from (
+ select *, row_number() over (partition by user_id, event_id // 100 order by event_id) i from events where event_type <> 'error') x where i <= 5 group by 1""", career_bpm_5y=5)
 def _(m):
     from slabmill.sources.html import explode_html_rows
 
@@ -392,9 +392,9 @@ def _(m):
         F.lit("<tr"), F.when(F.col("event_type") == "error", ' class="partial_table"').otherwise(""), F.lit('><th data-stat="season">'), F.col("event_id").cast("string"),
         F.lit('</th><td data-stat="bpm">'), F.col("value").cast("string"), F.lit("</td></tr>"),
     )
-    pages = m.raw("events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", row.alias("r")))).alias("rs")).select(
-        F.concat(F.lit("u"), "user_id").alias("page_id"),
-        F.concat(F.lit('<!-- <table id="advanced"><tbody>'), F.array_join(F.col("rs.r"), ""), F.lit("</tbody></table> -->")).alias("html"),
-    )
-    out = scouting.career_outcomes(scouting.outcome_rows(explode_html_rows(pages)))
-    return out.select("br_slug", "career_bpm_5y")
+    # A page takes its rows from one hundred event ids, so it stays small.
+    slug = F.concat(F.lit("u"), "user_id", F.lit("-"), F.floor(F.col("event_id") / 100))
+    pages = m.raw("events").groupBy(slug.alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("event_id", row.alias("r")))).alias("rs")).select(
+        "page_id", F.concat(F.lit('<!-- <table id="advanced"><tbody>'), F.array_join(F.col("rs.r"), ""), F.lit("</tbody></table> -->")).alias("html")
+    )
+    return scouting.career_outcomes(scouting.outcome_rows(explode_html_rows(pages))).select("br_slug", "career_bpm_5y")

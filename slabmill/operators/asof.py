@@ -125,6 +125,19 @@ def next_row(
     return out.select(*[c for c in df.columns if c != "_seg"], *[best[dst].alias(dst) for dst in columns])
 
 
+def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, segment: str = "day") -> DataFrame:
+    """Number the rows of each key in order; earlier segments contribute only their sizes.
+
+    ``order[0]`` must be a date or timestamp and ``order`` unique within a key.
+    """
+    keys = list(keys)
+    df = df.withColumn("_seg", F.date_trunc(segment, F.col(order[0])))
+    sizes = df.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(*keys, "_seg", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_seg")) - F.col("_n")).alias("_before"))
+    local = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order)))
+    return local.join(before, [*keys, "_seg"]).withColumn(out, F.col("_before") + F.col("_i")).drop("_seg", "_before", "_i")
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One whole row per key with the greatest ``order``; combines map-side."""
     rest = [c for c in df.columns if c not in keys]

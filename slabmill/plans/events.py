@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slabmill.functions import dates, event_text, names
-from slabmill.operators.asof import first_by, next_row
+from slabmill.operators.asof import first_by, next_row, running_count
 
 EVENT_KEY = ["player_id", "event_type", "event_date"]
 SIMILARITY_FLOOR = 0.88
@@ -108,12 +108,11 @@ def schedule_games(team_rows: DataFrame) -> DataFrame:
 
 
 def series_tally(games: DataFrame) -> DataFrame:
-    """Running wins per playoff series and winner; a series is a handful of games of one season."""
+    """Running wins per season, playoff series and winner."""
     played = games.where(F.col("is_playoff") & F.col("winner_team").isNotNull())
     series = F.concat_ws("-", F.sort_array(F.array("home_team", "away_team")))
     keyed = played.withColumn("series", series).withColumn("season", dates.current_season(F.col("game_date")))
-    order = Window.partitionBy("season", "series", "winner_team").orderBy("game_date", "game_id").rowsBetween(Window.unboundedPreceding, 0)
-    return keyed.withColumn("wins", F.count(F.lit(1)).over(order))
+    return running_count(keyed, ["season", "series", "winner_team"], ["game_date", "game_id"], "wins")
 
 
 def classified_playoffs(games: DataFrame) -> DataFrame:

@@ -28,18 +28,18 @@ def anchor_specs(spark: SparkSession) -> DataFrame:
 def resolve_anchors(specs: DataFrame, card: DataFrame, player: DataFrame) -> DataFrame:
     """Each wanted card with its id, or NULL where the catalogue lacks it.
 
-    The short list of wanted cards is the broadcast side; the catalogue streams past it.
+    No broadcast is forced: the sizes seen at run time decide the join.
     """
     keys = ["card_year", "manufacturer", "set_name", "parallel", "name"]
     known = card.join(player.select("player_id", "name"), "player_id").select("card_id", *keys)
-    hits = known.join(F.broadcast(specs.select(*keys).distinct()), keys).groupBy(*keys).agg(F.min("card_id").alias("card_id"))
+    hits = known.join(specs.select(*keys).distinct(), keys).groupBy(*keys).agg(F.min("card_id").alias("card_id"))
     return specs.join(hits, keys, "left").withColumn("resolved", F.col("card_id").isNotNull())
 
 
 def anchors(specs: DataFrame, card: DataFrame, player: DataFrame, tx: DataFrame, as_of: Column) -> DataFrame:
     """Resolved anchors with their average price before ``as_of`` (NULL if never sold)."""
     found = resolve_anchors(specs, card, player).where("resolved").select("card_id").distinct()
-    priced = asof_slice(tx, "sold_at", as_of).join(F.broadcast(found), "card_id", "left_semi")
+    priced = asof_slice(tx, "sold_at", as_of).join(found, "card_id", "left_semi")
     return found.join(priced.groupBy("card_id").agg(F.avg("price_usd").alias("avg_price")), "card_id", "left")
 
 

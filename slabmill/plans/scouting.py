@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from slabmill.functions import scouting as sc
 from slabmill.functions.dates import season_end_year
 from slabmill.operators.asof import first_by
 from slabmill.operators.concordance import concordance_share
-from slabmill.operators.ordering import exact_quantiles, tie_percent_rank
+from slabmill.operators.ordering import exact_quantiles, spread_row_number, tie_percent_rank
 from slabmill.session import stage
 from slabmill.sources.cohorts import normalize_frame
 
@@ -263,11 +263,10 @@ def forward_scores(current: DataFrame, weights: dict[str, float], consensus: Dat
 def career_outcomes(rows: DataFrame, seasons: int = 5) -> DataFrame:
     """Sums over each slug's first season rows: (br_slug, row_no, row_class, bpm, ws, vorp).
 
-    Team-split and header rows are dropped; one player's page holds a few dozen rows.
+    Team-split and header rows are dropped.
     """
     whole = rows.where(~F.coalesce(F.col("row_class"), F.lit("")).rlike(r"\b(partial_table|thead|over_header)\b"))
-    order = Window.partitionBy("br_slug").orderBy("row_no")
-    first = whole.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= seasons)
+    first = spread_row_number(whole, "_i", "row_no", "row_no", ["br_slug"]).where(F.col("_i") <= seasons)
     sums = {c: F.sum(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))) for c in ("bpm", "ws", "vorp")}
     return first.groupBy("br_slug").agg(*[s.alias(f"career_{c}_5y") for c, s in sums.items()])
 

@@ -34,6 +34,22 @@ def build_session(app: str = "slabmill", cpus: str = "*", shuffle_partitions: in
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the operators rely on; safe to apply to a session passed in.
+
+    Skewed join keys are split even where that costs one more shuffle, and all
+    timestamps are one UTC type, so filters on them reach the parquet scan.
+    """
+    for key, value in {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 

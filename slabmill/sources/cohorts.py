@@ -38,11 +38,11 @@ def read_cohort(spark: SparkSession, root: str, schema: T.StructType, key: str,
 def latest_snapshots(df: DataFrame, as_of, keys: Sequence[str] = ("source",), date: str = "snapshot_date") -> DataFrame:
     """Rows of each key's newest snapshot on or before ``as_of``.
 
-    The newest dates are one row per source, so the join prunes date partitions.
+    The newest dates are one row per source; once small, they prune date partitions.
     """
     known = df.where(F.col(date) <= as_of)
     newest = known.groupBy(*keys).agg(F.max(date).alias(date))
-    return known.join(F.broadcast(newest), [*keys, date], "left_semi")
+    return known.join(newest, [*keys, date], "left_semi")
 
 
 def latest_snapshot_scan(spark: SparkSession, root: str, schema: T.StructType, draft_year: int, as_of) -> DataFrame:
@@ -51,9 +51,12 @@ def latest_snapshot_scan(spark: SparkSession, root: str, schema: T.StructType, d
 
 
 def write_cohort(df: DataFrame, root: str, *partitions: str) -> None:
-    """Replace the partitions present in ``df`` and leave the others alone."""
+    """Replace the partitions present in ``df`` and leave the others alone.
+
+    A row hash joins the partition columns, so one big partition is written by many tasks.
+    """
     (
-        df.repartition(*[F.col(p) for p in partitions])
+        df.repartition(*[F.col(p) for p in partitions], F.pmod(F.xxhash64(*df.columns), F.lit(64)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)

@@ -90,7 +90,7 @@ class Warehouse:
         rows = self.conform(df, name)
         stored = self.read_table(name)
         if parts:
-            stored = stored.join(F.broadcast(rows.select(*parts).distinct()), parts, "left_semi")
+            stored = stored.join(rows.select(*parts).distinct(), parts, "left_semi")
         merged = stage(stored.join(rows.select(*key), key, "left_anti").unionByName(rows), f"upsert_{name}")
         self._write(merged, name, "overwrite")
         return rows.count()

@@ -260,16 +260,16 @@ def _slug_players(m):
 
 
 @query("d39_scores_to_store", """
-select player_id, draft_year, 'prism_v1' model_version, round(premium, 4) premium, round(percentile_rank, 4) percentile_rank, timestamp '2024-01-01' fit_at
+select player_id, draft_year, 'pairwise_v1' model_version, round(premium, 4) premium, round(percentile_rank, 4) percentile_rank, timestamp '2024-01-01' fit_at
 from premiums join slug_players using (br_slug)""", premium=4, percentile_rank=4)
 def _(m):
-    return scouting.scores_to_store(_premiums(m), _slug_players(m), "prism_v1", dates.ts("2024-01-01"))[0]
+    return scouting.scores_to_store(_premiums(m), _slug_players(m), "pairwise_v1", dates.ts("2024-01-01"))[0]
 
 
 @query("d39_skip_counts", """
 select count(player_id) stored, count(*) - count(player_id) unmapped, cast(0 as bigint) bad_year from premiums left join slug_players using (br_slug)""")
 def _(m):
-    return scouting.scores_to_store(_premiums(m), _slug_players(m), "prism_v1", dates.ts("2024-01-01"))[1]
+    return scouting.scores_to_store(_premiums(m), _slug_players(m), "pairwise_v1", dates.ts("2024-01-01"))[1]
 
 
 # --- consensus and forward scores --------------------------------------------------------------

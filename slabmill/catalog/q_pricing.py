@@ -10,7 +10,7 @@ from slabmill.catalog.registry import query, view
 from slabmill.config import GRADING_FEES
 from slabmill.functions import cards, dates, money
 from slabmill.operators.asof import asof_slice_closed
-from slabmill.plans import catalyst, grading, hedonic, pricing
+from slabmill.plans import grading, hedonic, pricing
 
 # --- fees and other column functions -------------------------------------------
 view("fee_sales", """
@@ -603,5 +603,3 @@ def _(m):
     fit = hedonic.hedonic_fit(features, grid=((4, 8),))
     return hedonic.hedonic_predict(fit.model, features).select("tx_id", "log_price", "predicted_log_price")
 
-
-__all__ = ["catalyst", "group_mean_residuals", "mispricing_by_card"]

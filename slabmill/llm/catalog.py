@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabmill.llm import packing, token_files
+from slabmill.llm import line_dedup, packing, quality_rules, sharding, token_files, url_filter
 from slabmill.llm.common import table
 from slabmill.llm.tokens import public_tokenizer
 from slabmill.session import scratch_path
@@ -27,6 +27,45 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+_URL_SQL = r"""
+with cut as (
+    select page_id, coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '') as raw_host,
+           coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path
+    from pages
+), parts as (
+    select page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from cut
+), judged as (
+    select *, case
+        when ends_with('.' || host, '.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+        when ends_with('.' || host, '.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+        when ends_with('.' || host, '.org') and starts_with(path, '/fr/') then 'org/fr/'
+        when ends_with('.' || host, '.net') and starts_with(path, '/') then 'net/'
+    end as rule
+    from parts
+)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict from judged
+"""
+
+
+@query("op1_url_filters", _URL_SQL)
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages"), spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+
+
+@query("op2_sharding")
+def sharded(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, folder, "documents"), shards=24)
+    crc = F.crc32(F.col("text").cast("binary"))
+    return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_quality_rules")
+def quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge_quality(table(spark, folder, "documents")).drop("rejected_by")
+
+
 @query("op4_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, folder, "documents"), public_tokenizer("word_bpe_49k.json"), end_id=1)
@@ -38,3 +77,28 @@ def token_id_files(spark: SparkSession, folder: str) -> DataFrame:
     place = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, folder, "documents"), place, public_tokenizer("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
     return token_files.read_token_files(spark, place).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_LINE_SQL = r"""
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as position
+    from documents
+), keyed as (
+    select doc_id, position, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from lines
+), shared as (
+    select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), marked as (
+    select k.doc_id, k.position, k.line, s.key is not null and k.doc_id <> s.keeper as gone from keyed k left join shared s on k.key = s.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by position) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
+@query("op6_line_dedup", _LINE_SQL)
+def lines_deduped(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +45,29 @@ def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else; text that is all ASCII takes the fast built-in."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, upper, lower))
+
+
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit numbers spread evenly (the finishing step of splitmix)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    """64-bit hashes that are the same in every process."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+
+
+def shingle_hashes(hashes: np.ndarray, width: int = 5) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` words, from the words' hashes."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = hashes[:n] * np.uint64(_ODD[0])
+    for k in range(1, width):
+        total += hashes[k : n + k] * np.uint64(_ODD[k])
+    return mixed(total)

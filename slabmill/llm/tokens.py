@@ -10,11 +10,14 @@ import numpy as np
 BYTE_LEVEL = "byte_level"
 WHITESPACE = "whitespace"
 
-_ASCII_SPACE_CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # White space, format and control characters outside ASCII white space: near them a cut may fall inside a token.
-_UNUSUAL_SPACE = re.compile(
-    rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf"
+_UNUSUAL = re.compile(
+    rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf"
 )
+_UNUSUAL_BEGINS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb")
+_NOT_PLAIN = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+_MARK = "\x00"
 
 
 class ChunkEncoder:
@@ -24,10 +27,11 @@ class ChunkEncoder:
     token at white space that follows a word and never looks back, so joining the chunks' ids gives the ids of the
     whole text. Texts with unusual white space are encoded whole.
     ``whitespace``: for tokenizers that drop white space, a chunk is a word.
+    A chunk's last full stop, comma or the like after an ASCII letter or digit is a token of its own in both kinds.
     Strings that look like special tokens are ordinary text. Ids come as little-endian unsigned integers.
     """
 
-    def __init__(self, path: str, kind: str, dtype: str = "<u4", remember: int = 600_000):
+    def __init__(self, path: str, kind: str, dtype: str = "<u4", remember: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -35,31 +39,82 @@ class ChunkEncoder:
         self._tokenizer.encode_special_tokens = True
         self._kind, self._dtype, self._remember = kind, np.dtype(dtype), remember
         self._known: dict[bytes, bytes] = {}
-
-    def _encode_all(self, chunks: list[bytes]) -> list[bytes]:
+        self._mark = self._ids(_MARK)[-1]
+        # The mark parts chunks in one long text where no longer token holds its character.
+        shown = self._tokenizer.id_to_token(self._mark).removesuffix("</w>")
+        self._parted = self._ids(f"a {_MARK} b").count(self._mark) == 1 and not any(
+            shown in t and t.removesuffix("</w>") != shown for t in self._tokenizer.get_vocab()
+        )
+        self._lower = kind == WHITESPACE and self._ids("A") == self._ids("a")
+
+    def _ids(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self._dtype).tobytes()
+
+    def _encode_each(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk; many chunks are encoded as one text, with marks between them."""
+        if not self._parted:
+            return [self._packed(e.ids) for e in self._tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
+        between = f" {_MARK} " if self._kind == WHITESPACE else _MARK
         out = []
-        for start in range(0, len(chunks), 20_000):
-            found = self._tokenizer.encode_batch([c.decode() for c in chunks[start : start + 20_000]], add_special_tokens=False)
-            out += [np.array(e.ids, self._dtype).tobytes() for e in found]
+        for start in range(0, len(chunks), 512):
+            some = chunks[start : start + 512]
+            found = np.array(self._ids(between.join(c.decode() for c in some)), self._dtype)
+            ids, cuts, width = found.tobytes(), np.flatnonzero(found == self._mark) * self._dtype.itemsize, self._dtype.itemsize
+            out += [ids[a:b] for a, b in zip([0, *(cuts + width).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
         return out
 
-    def _chunks(self, text: bytes) -> list[bytes]:
+    def _chunk(self, key: bytes) -> bytes:
+        """The chunk that a key stands for: after the mark the chunk itself, else a word with its line feed or space."""
+        if key[:1] == b"\x00":
+            return key[1:]
+        return key if self._kind == WHITESPACE or key[:1] == b"\n" else b" " + key
+
+    def _learn(self, keys: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not known yet."""
+        ends = {k: k[-1:] for k in keys if k[-1:] in b".,;:!?" and k[-2:-1].isalnum()}
+        cores = {k[:-1] if k in ends else k for k in keys}.difference(self._known)
+        chunks = {k: self._chunk(k) for k in cores}
+        whole = [k for k, c in chunks.items() if b"\x00" in c or c[-1:].isspace() or (not c.isascii() and _UNUSUAL.search(c))]
+        plain = list(cores.difference(whole))
+        ids = dict(zip(plain, self._encode_each([chunks[k] for k in plain]), strict=True))
+        ids |= {k: self._packed(self._ids(chunks[k].decode())) for k in whole}
+        stops = {e: self._packed(self._ids(e.decode())) for e in set(ends.values())}
+        known = self._known
+        for k, end in ends.items():
+            core = k[:-1]
+            ids[k] = (known[core] if core in known else ids[core]) + stops[end]
+        return ids
+
+    def _keys(self, text: bytes) -> list[bytes]:
         if self._kind == WHITESPACE:
-            return text.split()
-        return [text] if _UNUSUAL_SPACE.search(text) else _ASCII_SPACE_CHUNK.findall(text)
+            keys = (text.lower() if self._lower else text).split()
+            return [b"\x00" + k if k[:1] == b"\x00" else k for k in keys] if b"\x00" in text else keys
+        if any(x in text for x in _UNUSUAL_BEGINS) and _UNUSUAL.search(text):
+            return [b"\x00" + text]
+        if b"\x00" in text or any(x in text for x in _NOT_PLAIN) or text[:1] in b" \n" or text[-1:] in b" \n":
+            return [b"\x00" + c for c in _CHUNK.findall(text)]
+        keys = text.replace(b"\n", b" \n").split(b" ")
+        keys[0] = b"\x00" + keys[0]
+        return keys
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [self._chunks(t) for t in texts]
-        new = list(set().union(*parts).difference(self._known))
-        ids = dict(zip(new, self._encode_all(new), strict=True))
-        room = self._remember - len(self._known)
-        if room >= len(ids):
-            self._known.update(ids)
-            look_up = self._known.__getitem__
-        else:  # the memory is full: what is new is kept for this call only
+        parts = [self._keys(t) for t in texts]
+        words = set().union(*parts)
+        new = self._learn(words.difference(self._known))
+        if len(self._known) + len(new) > self._remember:  # go on with the words of these texts
             known = self._known
-            look_up = lambda c: known[c] if c in known else ids[c]
-        return [b"".join(map(look_up, p)) for p in parts]
+            self._known = {}
+            look_up = {c: known[c] if c in known else new[c] for c in words}
+            if len(look_up) <= self._remember:
+                self._known = look_up
+        else:
+            self._known |= new
+            look_up = self._known
+        found = look_up.__getitem__
+        return [b"".join(map(found, p)) for p in parts]
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}

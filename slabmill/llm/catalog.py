@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabmill.llm import line_dedup, packing, quality_rules, sharding, token_files, url_filter
+from slabmill.llm import decontam, kneser_ney, line_dedup, packing, quality_rules, sharding, token_files, url_filter
 from slabmill.llm.common import table
 from slabmill.llm.tokens import public_tokenizer
 from slabmill.session import scratch_path
@@ -102,3 +102,14 @@ from marked group by doc_id
 def lines_deduped(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op7_quality_classifier")
+def quality_classified(spark: SparkSession, folder: str) -> DataFrame:
+    judged = kneser_ney.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "lang", F.col("n_chars_scored").alias("n_chars"), "perplexity", "low", "high", "kept")
+
+
+@query("op10_decontamination")
+def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -7,6 +7,7 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +145,21 @@ def _indexes(benchmark: DataFrame, item: str, text: str) -> Iterator[BenchmarkIn
         yield BenchmarkIndex(held)
 
 
+def _searcher(shared: Broadcast[BenchmarkIndex]):
+    @F.arrow_udf(HITS)
+    def search(texts: pa.Array) -> pa.Array:
+        out, held, size = [], [], 0
+        for t in texts.cast(pa.large_binary()).to_pylist():
+            held.append(t or b"")
+            size += len(held[-1])
+            if size > _AT_ONCE:
+                out += shared.value.search(held)
+                held, size = [], 0
+        return pa.array(out + shared.value.search(held), pa.list_(_HIT))
+
+    return search
+
+
 def with_benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", hits: str = "hits") -> DataFrame:
     """All columns of ``docs`` plus ``hits``: the benchmark items that a passage of the text repeats, NULL where there are none.
 
@@ -159,19 +175,7 @@ def with_benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text
     spark = docs.sparkSession
     found = F.lit(None).cast(HITS)
     for index in _indexes(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.arrow_udf(HITS)
-        def search(texts: pa.Array, shared=shared) -> pa.Array:
-            raw, out, held, size = texts.cast(pa.large_binary()).to_pylist(), [], [], 0
-            for t in raw:
-                held.append(t or b"")
-                size += len(held[-1])
-                if size > _AT_ONCE:
-                    out += shared.value.search(held)
-                    held, size = [], 0
-            return pa.array(out + shared.value.search(held), pa.list_(_HIT))
-
+        search = _searcher(spark.sparkContext.broadcast(index))
         here = search(F.col(text))
         found = F.when(found.isNull(), here).otherwise(F.concat(found, F.coalesce(here, F.array().cast(HITS))))
     return docs.withColumn(hits, found)

@@ -122,7 +122,10 @@ class BenchmarkIndex:
                 continue
             last = window
             mine = shingles[window[1] : window[2]]
+            of_text = int(ends[window[0]]) - (int(ends[window[0] - 1]) if window[0] else 0)
             for i in self.within_radius(fingerprint(mine)):
+                if min(int(self.n_words[i]), of_text) != len(mine) + SHINGLE - 1:
+                    continue  # an item's windows have its own number of words
                 similarity = weighted_jaccard(mine, self.shingles[i])
                 if similarity >= SIMILARITY and similarity > best.get((window[0], int(i)), (0.0,))[0]:
                     best[window[0], int(i)] = (similarity, window[1], len(mine) + SHINGLE - 1)
@@ -163,7 +166,7 @@ def _searcher(shared: Broadcast[BenchmarkIndex]):
 def with_benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", hits: str = "hits") -> DataFrame:
     """All columns of ``docs`` plus ``hits``: the benchmark items that a passage of the text repeats, NULL where there are none.
 
-    A text repeats an item where a window of as many words as the item has a similarity of at least 0.75 to it: weighted Jaccard of five-word
+    A text repeats an item where a window of as many words as the item (or the whole text, if shorter) has a similarity of at least 0.75 to it: weighted Jaccard of five-word
     shingles, repeats counted, words being runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased. The SimHash of each window that can
     reach this is looked up in a multi-index of blocks, which yields every item within the radius, and the similarity of those
     is computed exactly. A hit has the item, the similarity, and the first word and the number of words of the item's best window.

@@ -16,7 +16,6 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-@F.pandas_udf("text string, dropped long")
 def _without(texts: pd.Series, positions: pd.Series) -> pd.DataFrame:
     kept, dropped = [], []
     for text, gone in zip(texts, positions, strict=True):
@@ -60,7 +59,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: st
     )
     rows = docs.select(F.struct(*own).alias("row"), F.col(key).cast("long").alias("doc"), same.alias("same"), whole.alias("text"))
     met = rows.alias("r").join(gone.alias("g"), F.col("r.doc").eqNullSafe(F.col("g.doc")) & (F.col("r.same") == F.col("g.same")), "left")
-    cut = met.select("row", "text", "gone", _without(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")).alias("cut"))
+    without = F.pandas_udf(_without, "text string, dropped long")
+    cut = met.select("row", "text", "gone", without(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")).alias("cut"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("cut.text"))
     n_lines = (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     return cut.select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabmill.llm import decontam, kneser_ney, language_model, line_dedup, packing, quality_rules, sharding, token_files, url_filter
+from slabmill.llm import decontam, kneser_ney, language_model, line_dedup, ngram_join, packing, quality_rules, sharding, token_files, url_filter
 from slabmill.llm.common import table
 from slabmill.llm.tokens import public_tokenizer
 from slabmill.session import scratch_path
@@ -118,3 +118,8 @@ def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_lm_scoring")
 def language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score_texts(table(spark, folder, "documents"))
+
+
+@query("op8_ngram_jaccard_join")
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_copy_groups(table(spark, folder, "documents"))

@@ -8,11 +8,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slabmill.llm.common import mixed, shingle_hashes, shuffle_partitions, slices, word_hashes, words_of
 from slabmill.llm.graph import components
+from slabmill.llm.line_dedup import WHITE
 from slabmill.session import stage
 
 SHINGLE = 5
@@ -25,8 +26,8 @@ FREQUENT, MAX_FREQUENT = 8, 1_000_000
 _FLUSH = 2_000_000
 _COMPARED = 2_000_000  # sketch words compared at once
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
-_FIRST_SQL = "doc_id long, n long, class long, sketch binary, keys binary, counts binary"
+_FIRST = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+_FIRST_SQL = "doc_id long, same long, n long, class long, sketch binary, keys binary, counts binary"
 _KEYS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary())])
 _LIVE = pa.schema([("key", pa.int64()), ("class", pa.int64())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -119,17 +120,17 @@ def _documents(rows: DataFrame) -> DataFrame:
         def shared() -> Iterator[pa.RecordBatch]:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             keys, counts = keys[counts > 1], counts[counts > 1]
-            columns = [[None], [None], [None], [None], [keys.tobytes()], [counts.astype("<i8").tobytes()]]
+            columns = [*[[None]] * 5, [keys.tobytes()], [counts.astype("<i8").tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIRST, strict=True)], schema=_FIRST)
 
         for batch, texts in slices(batches):
             out = []
-            for key, s in zip(batch.column(0).to_pylist(), shingle_sets(texts), strict=True):
+            for key, same, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(texts), strict=True):
                 if not len(s):
-                    out.append((key, 0, None, None, None, None))
+                    out.append((key, same, 0, None, None, None, None))
                     continue
                 own = class_of(s)
-                out.append((key, len(s), own, parity_sketch(s), None, None))
+                out.append((key, same, len(s), own, parity_sketch(s), None, None))
                 if own not in met:
                     met.add(own)
                     for keys, _ in block_keys(s):
@@ -347,9 +348,30 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     compared pair by pair inside the task by their sketches, without a row for a pair unless its sketches allow a link; sizes, sketches
     and at last the whole sets decide. So every link between different groups is found, and pairs inside a group are not listed.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = _grouped(docs, key, text)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one of each group of :func:`near_copy_groups` is kept: the one with the smallest key
+    (NULL last), of rows with one key that with the smaller text hash, of equal rows any. Texts without words all stay."""
+    groups = stage(_grouped(docs, key, text), "groups").where("n > 0")
+    name = lambda c: F.coalesce(c.cast("long"), F.lit((1 << 63) - 1))
+    chosen = groups.groupBy("group").agg(F.min(F.struct(name(F.col("doc_id")).alias("id"), "same")).alias("k")).select("k.id", "k.same", F.lit(True).alias("chosen"))
+    gone = groups.select(name(F.col("doc_id")).alias("id"), "same").distinct().join(chosen, ["id", "same"], "left").where("chosen is null").select("id", "same")
+    rows = docs.select(F.struct("*").alias("row"), name(F.col(key)).alias("id"), F.xxhash64(F.col(text)).alias("same"))
+    left = rows.join(gone, ["id", "same"], "left_anti")
+    copy = F.row_number().over(Window.partitionBy("id", "same").orderBy("same"))
+    wordless = F.coalesce(F.btrim(F.col("row")[text], F.lit(WHITE)), F.lit("")) == ""
+    return left.withColumn("copy", copy).where((F.col("copy") == 1) | wordless).select("row.*")
+
+
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, same (text hash), n, class, group (a number for each component) and component_id of every row."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("same"))
     measured = stage(_documents(rows), "classes")
-    documents = measured.where("keys is null").select("doc_id", "n", "class", "sketch")
+    documents = measured.where("keys is null").select("doc_id", "same", "n", "class", "sketch")
     classes = stage(documents.where("n > 0").groupBy("class").agg(F.min("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first_doc")), "class-sketches")
     live = stage(_live_keys(rows, _frequent(measured)), "live-keys")
     stars = stage(_verified(_stars(live), classes, rows), "links")
@@ -359,6 +381,5 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     known = classes.select("class", "first_doc").join(groups, classes["class"] == groups["node"], "left").select("class", "first_doc", F.coalesce("component", "class").alias("group"))
     smallest = known.groupBy("group").agg(F.min("first_doc").alias("component_id"))
-    of_class = known.join(smallest, "group").select("class", "component_id")
-    found = documents.join(of_class, "class", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = known.join(smallest, "group").select("class", "group", "component_id")
+    return documents.drop("sketch").join(of_class, "class", "left")

@@ -204,6 +204,8 @@ def _live_keys(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
             classes += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
         key, own = np.concatenate(keys), np.concatenate(classes)
         del keys, classes
+        if not len(key):
+            return
         order = np.argsort(key)
         key, own = key[order], own[order]
         same = np.concatenate([[False], key[1:] == key[:-1], [False]])

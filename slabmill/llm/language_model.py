@@ -23,15 +23,18 @@ OWN_CLASSES = 128
 DIMENSIONS = 24
 ROUNDS = 3
 NOISE = 64
-BATCH = 4096
-RATE = 0.15
+#: Contexts in a batch.
+BATCH = 256
+RATE = 0.05
 #: Words whose counts every task holds: the most frequent ones of at most so many bytes. Others are joined with the counts.
-HELD_WORDS = 120_000
+HELD_WORDS = 80_000
 HELD_BYTES = 48
 #: The end of a text as a token; no word can be a line feed.
 END = b"\n"
 #: Distinct words that a task counts before it passes them on.
-_FLUSH = 600_000
+_FLUSH = 400_000
+#: Text bytes that are scored at once.
+_AT_ONCE = 3 << 20
 
 _WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 _GRAMS = pa.schema([("codes", pa.binary()), ("counts", pa.binary())])
@@ -112,41 +115,44 @@ class Parameters(NamedTuple):
             top = scores.max(axis=1, keepdims=True)
             scores -= top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
             table[k * CLASSES : (k + 1) * CLASSES] = scores
-        return table * np.float32(1 / math.log(10))
+        table *= np.float32(1 / math.log(10))
+        return table
 
 
 def train_nce(start: Parameters, codes: np.ndarray, counts: np.ndarray, log_noise: np.ndarray, seed: int) -> Parameters:
-    """One pass over the weighted class trigrams of a partition: AdaGrad on the noise-contrastive loss.
+    """One pass over the class trigrams of a partition (ascending codes): AdaGrad on the noise-contrastive loss.
 
-    A batch shares ``NOISE`` noise classes, each standing for its share of the noise, so that its scores are one matrix product.
+    A batch is some contexts with the counts of what follows them. As classes are few, the loss takes the expectation over ``NOISE`` noise classes
+    a word and not a sample of them, so a batch is three matrix products. A context weighs as the root of its count.
     """
     rng = np.random.default_rng(seed)
     p = Parameters(*(x.copy() for x in start))
-    power = [np.full_like(x, 1e-3) for x in p]
-    noise_p = np.exp(log_noise)
-    order = rng.permutation(len(codes))
+    power = [np.full_like(x, 1e-6) for x in p]
+    noise = (NOISE * np.exp(log_noise)).astype(np.float32)
+    shift = np.log(noise)
+    contexts, first = np.unique(codes >> 8, return_index=True)
+    ends = np.append(first[1:], len(codes))
+    order = rng.permutation(len(contexts))
     for at in range(0, len(order), BATCH):
         some = order[at : at + BATCH]
-        far, near, w = codes[some] >> 16, codes[some] >> 8 & 255, codes[some] & 255
-        weight = np.minimum(counts[some], 1000).astype(np.float32)
+        n = ends[some] - first[some]
+        row = np.repeat(np.arange(len(some)), n)
+        place = np.arange(len(row)) + np.repeat(first[some] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        follows = np.zeros((len(some), CLASSES), np.float32)
+        follows[row, codes[place] & 255] = counts[place]
+        total = follows.sum(axis=1, keepdims=True)
+        weight = np.sqrt(total)
         weight /= weight.sum()
+        far, near = contexts[some] >> 8, contexts[some] & 255
         rf, rn = p.context[far], p.context[near]
         hidden = rn @ p.near + rf @ p.far
-        noise = rng.choice(CLASSES, NOISE, p=noise_p)
-        qw, qn = p.target[w], p.target[noise]
-        data = (hidden * qw).sum(axis=1) + p.bias[w] - (math.log(NOISE) + log_noise[w])
-        false = hidden @ qn.T + p.bias[noise] - (math.log(NOISE) + log_noise[noise])
-        up = (weight / (1 + np.exp(np.clip(data, -30, 30)))).astype(np.float32)
-        down = (-weight[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
-        d_hidden = up[:, None] * qw + down @ qn
-        d_target, d_bias, d_context = np.zeros_like(p.target), np.zeros_like(p.bias), np.zeros_like(p.context)
-        np.add.at(d_target, w, up[:, None] * hidden)
-        np.add.at(d_target, noise, down.T @ hidden)
-        np.add.at(d_bias, w, up)
-        np.add.at(d_bias, noise, down.sum(axis=0))
+        true = 1 / (1 + np.exp(np.clip(shift - p.bias - hidden @ p.target.T, -30, 30)))
+        gain = weight * (follows / total * (1 - true) - noise * true)
+        d_hidden = gain @ p.target
+        d_context = np.zeros_like(p.context)
         np.add.at(d_context, near, d_hidden @ p.near.T)
         np.add.at(d_context, far, d_hidden @ p.far.T)
-        for x, g, s in zip(p, (d_context, d_target, rn.T @ d_hidden, rf.T @ d_hidden, d_bias), power, strict=True):
+        for x, g, s in zip(p, (d_context, gain.T @ hidden, rn.T @ d_hidden, rf.T @ d_hidden, gain.sum(axis=0)), power, strict=True):
             s += g * g
             x += RATE * g / np.sqrt(s)
     return p
@@ -211,7 +217,8 @@ def _trigrams(docs: DataFrame, shared) -> DataFrame:
             words = [words_of(t.lower()) for k, t in zip(batch.column(0).to_pylist(), texts, strict=True) if not is_held_out(k)]
             if words:
                 class_of = {w: v.class_of(w) for w in set().union(*words)}
-                here = _class_sequences(words, class_of, v)[0]
+                flat = np.fromiter(map(class_of.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+                here = _class_sequences(words, flat, v)[0]
                 codes, n = np.unique((here[:-2] << 16 | here[1:-1] << 8 | here[2:])[here[2:] != 0], return_counts=True)
                 parts.append((codes, n))
                 if len(parts) == 8:
@@ -225,13 +232,12 @@ def _trigrams(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInArrow(count, "codes binary, counts binary")
 
 
-def _class_sequences(words: list[list[bytes]], class_of: dict[bytes, int], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of texts one after another, each as two begins, its words and its end; and where each text begins."""
+def _class_sequences(words: list[list[bytes]], classes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of texts one after another, each as two begins, its words' classes and its end; and where each text begins."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     begins = np.concatenate([[0], np.cumsum(lengths + 3)])
     out = np.zeros(int(begins[-1]), np.int64)
-    flat = np.fromiter(map(class_of.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
-    out[np.arange(len(flat)) + np.repeat(3 * np.arange(len(words)) + 2, lengths)] = flat
+    out[np.arange(len(classes)) + np.repeat(3 * np.arange(len(words)) + 2, lengths)] = classes
     out[begins[1:] - 1] = v.own[END]
     return out, begins[:-1]
 
@@ -269,26 +275,29 @@ def _scored(docs: DataFrame, shared) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = shared.value
         table = p.log10_table()
-        for batch, texts in slices(batches):
+        end = v.base(v.counts.get(END, 0))
+        for batch, texts in slices(batches, size=_AT_ONCE):
             words = [words_of(t.lower()) for t in texts]
-            class_of, base, within, held = {}, {}, {}, {}
-            for w in set().union(*words):
-                k = class_of[w] = v.class_of(w)
-                n = v.counts.get(w)
-                held[w] = n is not None
-                base[w], within[w] = (0.0, 0.0) if n is None else (v.base(n), v.within(k, n))
-            classes, begins = _class_sequences(words, class_of, v)
+            number = {w: i for i, w in enumerate(set().union(*words))}
+            of_word = np.fromiter(map(v.class_of, number), np.int64, len(number))
+            held = [v.counts.get(w) for w in number]
+            known = np.array([n is not None for n in held], bool)
+            base = np.array([0.0 if n is None else v.base(n) for n in held])
+            within = np.array([0.0 if n is None else v.within(k, n) for n, k in zip(held, of_word.tolist(), strict=True)])
+            flat = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+            classes, begins = _class_sequences(words, of_word[flat], v)
             predicted = table[classes[:-2] << 8 | classes[1:-1], classes[2:]]
             predicted[classes[2:] == 0] = 0
-            by_text = np.add.reduceat(predicted, begins, dtype=np.float64)
-            end = v.base(v.counts.get(END, 0))
-            rows = []
-            for key, own, lbl in zip(batch.column(0).to_pylist(), words, by_text, strict=True):
-                tail = Counter(w for w in own if not held[w])
-                rows.append(
-                    (key, is_held_out(key), len(own) + 1, sum(map(base.__getitem__, own)) + end,
-                     sum(map(within.__getitem__, own)) + float(lbl), [{"word": w, "class": class_of[w], "n": n} for w, n in tail.items()])
-                )
+            lbl = np.add.reduceat(predicted, begins, dtype=np.float64)
+            ends = np.cumsum([0, *map(len, words)])
+            sums = [np.concatenate([[0.0], np.cumsum(x[flat])]) for x in (base, within)]
+            own_base, own_within = (x[ends[1:]] - x[ends[:-1]] for x in sums)
+            listed, rows = list(number), []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                here = flat[ends[i] : ends[i + 1]]
+                rare, n = np.unique(here[~known[here]], return_counts=True)
+                tail = [{"word": listed[w], "class": k, "n": m} for w, k, m in zip(rare.tolist(), of_word[rare].tolist(), n.tolist(), strict=True)]
+                rows.append((key, is_held_out(key), len(here) + 1, own_base[i] + end, own_within[i] + lbl[i], tail))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCORED, strict=True)], schema=_SCORED)
 
     return docs.mapInArrow(score, _SCORED_SQL)

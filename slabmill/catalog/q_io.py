@@ -25,6 +25,14 @@ def _(m):
     return m.card_master.select("card_id").join(stored, "card_id")
 
 
+@query("s01_read_table", "select source, external_id, raw_title, sold_at from tx_raw")
+def _(m):
+    wh = _warehouse(m)
+    assert wh.read_table("tx_raw").isEmpty()
+    wh.insert_if_absent(m.tx_raw, "tx_raw")
+    return wh.read_table("tx_raw").select("source", "external_id", "raw_title", "sold_at")
+
+
 @query("k01_insert_if_absent", """
 select source, external_id, raw_title from tx_raw where cast(split_part(raw_id, '-', 3) as bigint) % 4 <> 3""")
 def _(m):
@@ -41,7 +49,8 @@ select card_id, grader, grade, case when card_id % 2 = 0 then pop_count + 1000 e
 def _(m):
     wh = _warehouse(m)
     wh.upsert(m.pop_snapshots, "pop_snapshots")
-    wh.upsert(m.pop_snapshots.where("card_id % 2 = 0").withColumn("pop_count", F.col("pop_count") + 1000), "pop_snapshots")
+    changed = m.pop_snapshots.where("card_id % 2 = 0").withColumn("pop_count", F.col("pop_count") + 1000)
+    wh.upsert(changed.union(changed.withColumn("pop_count", F.col("pop_count") + 1)), "pop_snapshots", order=["pop_count"])
     return wh.read_table("pop_snapshots")
 
 
@@ -52,6 +61,9 @@ def _(m):
     wh.replace_slice(panel, "factor_panel")
     wh.replace_slice(panel.withColumn("as_of_date", F.lit("1999-12-25").cast("date")), "factor_panel")
     wh.replace_slice(panel.where("card_id % 2 = 0"), "factor_panel")
+    gone = F.lit("1999-12-18").cast("date")
+    wh.replace_slice(panel.withColumn("as_of_date", gone), "factor_panel")
+    wh.replace_slice(panel.limit(0), "factor_panel", slices=[{"as_of_date": "1999-12-18"}])
     return wh.read_table("factor_panel").select("card_id", "as_of_date", "sales_count_90d", "liquidity_tier")
 
 

@@ -214,7 +214,7 @@ walk as (select cast(0 as bigint) i, cast(30000 as double) budget, cast(null as
 select card_id, cost from walk where card_id is not null) o""", target_usd_value=6, target_weight_pct=9)
 def _(m):
     pool = m.stored("grading_ev", lambda: _ev(m)).where("raw_price is not null and ev_per_dollar is not null")
-    out = pf.grading_overlay(pool, Allocation(overlay_weight=0.03), chunk=7)
+    out = pf.grading_overlay(pool, Allocation(overlay_weight=0.03))
     return out.select("card_id", "target_usd_value", "target_weight_pct")
 
 
@@ -388,7 +388,7 @@ def _(m):
 
 
 # --- panels ---------------------------------------------------------------------------------
-START, END = "1999-06-01", "2000-01-01"
+START, END = "1900-01-01", "2100-01-01"
 view("price_panel", f"""
 select cast(sold_at as date) as date, card_id, avg(price_usd) mean_price, count(*) volume from tx_clean
 where sold_at >= timestamp '{START}' and sold_at < timestamp '{END}' group by 1, 2""")
@@ -415,9 +415,13 @@ def _(m):
     return pf.price_panel(m.tx_clean, m.card_master, dates.ts("1900-01-01"), dates.ts("2100-01-01"))
 
 
-@query("w08_locf_daily_spine", "select * from locf", price=7)
+@query("w08_locf_daily_spine", "select card_id, count(*) as n_days, min(date) first_day, max(date) last_day, sum(price) price_days, max(price) top_price from locf group by card_id", price_days=3, top_price=7)
 def _(m):
-    return pf.locf_panel(_panel(m))
+    days = pf.locf_panel(_panel(m)).groupBy("card_id")
+    return days.agg(
+        F.count(F.lit(1)).alias("n_days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),
+        F.sum("price").alias("price_days"), F.max("price").alias("top_price"),
+    )
 
 
 @query("w09_trailing_volume", "select * from trailing_sales")

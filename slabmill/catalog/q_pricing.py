@@ -43,12 +43,11 @@ def _(m):
 
 @query("f09_recency_blend", f"""
 select tx_id, exp(-d / 30.0) confidence, exp(-d / 30.0) * price_usd + (1 - exp(-d / 30.0)) * 100 blended
-from (select *, date_diff('day', sold_at, {AS_OF}) d from tx_clean where sold_at <= {AS_OF} and sold_at >= {AS_OF} - interval 90 day) t""",
+from (select *, greatest(date_diff('day', sold_at, {AS_OF}), 0) d from tx_clean) t""",
        confidence=8, blended=6)
 def _(m):
-    known = asof_slice_closed(m.tx_clean, "sold_at", m.as_of, 90)
-    c = money.recency_confidence(dates.whole_days(m.as_of, F.col("sold_at")))
-    return known.select("tx_id", c.alias("confidence"), money.blend(F.col("price_usd"), F.lit(100.0), c).alias("blended"))
+    c = money.recency_confidence(F.greatest(dates.whole_days(m.as_of, F.col("sold_at")), F.lit(0)))
+    return m.tx_clean.select("tx_id", c.alias("confidence"), money.blend(F.col("price_usd"), F.lit(100.0), c).alias("blended"))
 
 
 view("card_features", """
@@ -285,9 +284,13 @@ def _(m):
 
 @query("d18_exit_signal_notes", f"""
 with p as (select *, date_diff('day', acquired_at, {AS_OF}) held, strpos('ABCD', tier_now) - strpos('ABCD', entry_liquidity_tier) dropped from exit_probe)
-select holding_id, 'tier ' || entry_liquidity_tier || ' → ' || tier_now notes from p where dropped >= 2""")
+select holding_id, 'target_hit' rule_triggered, 'last_sold=' || cast(cast(cast(price as varchar) as decimal(18, 2)) as varchar) || ' >= sell_target=' || cast(cast(cast(sell_target as varchar) as decimal(18, 2)) as varchar) notes from p where price >= sell_target union all
+select holding_id, 'factor_reversal', 'factor_rank_pct=' || cast(cast(cast(rank_pct as varchar) as decimal(18, 2)) as varchar) || ' (dropped from top decile)' from p where entry_factor_decile = 10 and rank_pct < 0.9 union all
+select holding_id, 'time_stop', 'held ' || held || 'd, price ' || cast(cast(cast(price as varchar) as decimal(18, 2)) as varchar) || ' < 1.1×cost' from p where held > 540 and price < 1.10 * acquired_cost_usd union all
+select holding_id, 'price_stop', 'last_sold=' || cast(cast(cast(price as varchar) as decimal(18, 2)) as varchar) || ' < stop_loss=' || cast(cast(cast(stop_loss as varchar) as decimal(18, 2)) as varchar) from p where price < stop_loss union all
+select holding_id, 'liquidity_degrade', 'tier ' || entry_liquidity_tier || ' → ' || tier_now from p where dropped >= 2""")
 def _(m):
-    return _signals(m).where("rule_triggered = 'liquidity_degrade'").select("holding_id", "notes")
+    return _signals(m).select("holding_id", "rule_triggered", "notes")
 
 
 @query("d19_resolve_signals", f"""
@@ -600,6 +603,6 @@ def _(m):
 @query("d10_hedonic_predictions", predicted_log_price=4)
 def _(m):
     features = m.stored("hedonic_features", lambda: _features(m))
-    fit = hedonic.hedonic_fit(features, grid=((4, 8),))
+    fit = hedonic.hedonic_fit(features)
     return hedonic.hedonic_predict(fit.model, features).select("tx_id", "log_price", "predicted_log_price")
 

@@ -461,11 +461,10 @@ def _(m):
 
 
 @query("s06_explode_population", """
-select timestamp '2000-01-01' snapshot_date, card_id, 'PSA' grader, grade, pop_count from pop_snapshots where snapshot_date = timestamp '1999-12-01' """)
+select timestamp '2000-01-01' snapshot_date, card_id, 'PSA' grader, grade, pop_count from pop_snapshots""")
 def _(m):
-    month = m.pop_snapshots.where(F.col("snapshot_date") == dates.ts("1999-12-01"))
     entry = F.struct(F.col("grade").cast("string").alias("Grade"), F.col("pop_count").cast("string").alias("pop"))
-    docs = month.groupBy("card_id").agg(F.to_json(F.struct(F.collect_list(entry).alias("PSAPopulation"))).alias("doc"))
+    docs = m.pop_snapshots.groupBy("card_id", "snapshot_date").agg(F.to_json(F.struct(F.collect_list(entry).alias("PSAPopulation"))).alias("doc"))
     return listings.explode_population(docs, "doc", m.as_of + F.expr("interval 5 hours"))
 
 
@@ -725,12 +724,15 @@ def _(m):
     def broken():
         raise ValueError("feed unavailable")
 
+    def unreadable():
+        return m.player_master.select("player_id", F.raise_error(F.lit("feed breaks off")).alias("event_type"))
+
     done, failed = events.event_refresh(
-        {"injuries": lambda: events.injury_events(_injury_feed(m), m.player_master, _stored_events(m)), "transactions": broken},
+        {"injuries": lambda: events.injury_events(_injury_feed(m), m.player_master, _stored_events(m)), "transactions": broken, "captures": unreadable},
         {"awards": lambda: events.award_events(feed, m.player_master, _stored_events(m))},
         is_monday=True,
     )
-    assert set(failed) == {"transactions"}
+    assert set(failed) == {"transactions", "captures"}
     return events.refresh_counts(done)
 
 

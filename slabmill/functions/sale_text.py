@@ -72,9 +72,6 @@ def _listing_type(suffix: Column, prefix: Column) -> Column:
     return out
 
 
-REST = 1 << 20
-
-
 def _head(record: Column, seller: Column, price_start: Column) -> Column:
     """Text between the platform and the price, without a paid marker."""
     skip = F.length(seller)
@@ -85,7 +82,7 @@ def _head(record: Column, seller: Column, price_start: Column) -> Column:
 def _title(head: Column, seller: Column) -> Column:
     """Title without a marketplace seller's leading dash text and leading sale words."""
     at_year = F.regexp_instr(head, F.lit(TITLE_YEAR))
-    undashed = F.when(at_year > 0, F.substring(head, at_year, F.lit(REST))).otherwise(F.regexp_replace(head, r"^[- ]+", ""))
+    undashed = F.when(at_year > 0, F.substr(head, at_year)).otherwise(F.regexp_replace(head, r"^[- ]+", ""))
     named = F.when((seller == "EBAY") & head.startswith("-"), undashed).otherwise(head)
     return F.trim(F.regexp_replace(F.trim(named), r"(?i)^(?:(?:BUY NOW|AUCTION|FIXED PRICE|BEST OFFER)\s*)+", ""))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,13 @@ def unit_bucket(width: float) -> Callable[[Column], Column]:
     return lambda value: F.floor(value / width).cast("long")
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys meet NULL keys; the keys are kept once."""
+    there = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    met = left.join(there, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys)), how)
+    return met.drop(*(f"_r_{k}" for k in keys))
+
+
 def _value_counts(df: DataFrame, keys: Sequence[str], value: str, bucket, weight: str | None = None) -> DataFrame:
     size = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     return (
@@ -61,6 +68,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``keys`` (none = whole table).
 
+    NULL values are not counted; a NULL key is a group like any other.
+
     ``weight`` names a column saying how many observations a row stands for.
     """
     keys = list(keys)
@@ -80,7 +89,7 @@ def exact_quantiles(
     probs = sorted(set(outputs.values()))
     wanted = [covers(r(p), F.col("_before"), F.col("_bn")) for p in probs for r in (low, high)]
     edges = edges.where(reduce(or_, wanted))
-    inside = counts.join(edges, [*keys, "_b"]).withColumn(
+    inside = _same(counts, edges, [*keys, "_b"]).withColumn(
         "_start",
         F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v")) - F.col("_n"),
     )
@@ -109,11 +118,11 @@ def count_below(
     counts = _value_counts(df, parts, value, bucket)
     edges = _bucket_edges(counts, parts).drop("_bn")
     inner = Window.partitionBy(*parts, "_b").orderBy("_v")
-    ranked = counts.join(edges, [*parts, "_b"]).select(
+    ranked = _same(counts, edges, [*parts, "_b"]).select(
         *parts, "_v", (F.col("_before") + F.sum("_n").over(inner) - F.col("_n")).alias("_below"), F.col("_n").alias("_same"), "_total"
     )
     keyed = df.withColumn("_v", F.col(value).cast("double"))
-    return keyed.join(ranked, [*parts, "_v"], "left").drop("_v")
+    return _same(keyed, ranked, [*parts, "_v"], "left").drop("_v")
 
 
 def tie_percent_rank(
@@ -139,7 +148,9 @@ def spread_row_number(
     count_as: str | None = None,
     tie_width: float = float(1 << 20),
 ) -> DataFrame:
-    """``row_number`` over (parts ordered by value, tie) for partitions of any size.
+    """``row_number`` over (parts ordered by value, NULL last, then tie) for partitions of any size.
+
+    No row is dropped: NULL values, ties and partition keys are numbered like others, and ``count_as`` counts them.
 
     A row's number is the sum of three counts taken before it (lower buckets,
     lower values in its bucket, lower id ranges at its value) and its place among
@@ -157,22 +168,20 @@ def spread_row_number(
     coarse = coarse.select(
         *parts,
         "_b0",
-        (F.sum("_n0").over(per_part.orderBy("_b0")) - F.col("_n0")).alias("_s0"),
+        (F.sum("_n0").over(per_part.orderBy(F.asc_nulls_last("_b0"))) - F.col("_n0")).alias("_s0"),
         F.sum("_n0").over(per_part).alias("_all"),
     )
     shared = df.groupBy(*parts, "_b0", "_o").agg(F.count(F.lit(1)).alias("_nv"))
     shared = shared.withColumn(
-        "_sv", F.sum("_nv").over(Window.partitionBy(*parts, "_b0").orderBy("_o")) - F.col("_nv")
+        "_sv", F.sum("_nv").over(Window.partitionBy(*parts, "_b0").orderBy(F.asc_nulls_last("_o"))) - F.col("_nv")
     ).drop("_nv")
     by_id = df.groupBy(*parts, "_o", "_b1").agg(F.count(F.lit(1)).alias("_ni"))
     by_id = by_id.withColumn(
-        "_si", F.sum("_ni").over(Window.partitionBy(*parts, "_o").orderBy("_b1")) - F.col("_ni")
+        "_si", F.sum("_ni").over(Window.partitionBy(*parts, "_o").orderBy(F.asc_nulls_last("_b1"))) - F.col("_ni")
     ).drop("_ni")
     ranked = (
-        df.join(coarse, [*parts, "_b0"])
-        .join(shared, [*parts, "_b0", "_o"])
-        .join(by_id, [*parts, "_o", "_b1"])
-        .withColumn("_r", F.row_number().over(Window.partitionBy(*parts, "_o", "_b1").orderBy(tie)))
+        _same(_same(_same(df, coarse, [*parts, "_b0"]), shared, [*parts, "_b0", "_o"]), by_id, [*parts, "_o", "_b1"])
+        .withColumn("_r", F.row_number().over(Window.partitionBy(*parts, "_o", "_b1").orderBy(F.asc_nulls_last(tie))))
         .withColumn(out, (F.col("_s0") + F.col("_sv") + F.col("_si") + F.col("_r")).cast("long"))
     )
     if count_as:

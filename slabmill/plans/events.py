@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slabmill.functions import dates, event_text, names
 from slabmill.operators.asof import first_by, next_row, running_count
+from slabmill.session import stage
 
 EVENT_KEY = ["player_id", "event_type", "event_date"]
 SIMILARITY_FLOOR = 0.88
@@ -34,12 +35,24 @@ def resolve_names(feed: DataFrame, player: DataFrame, column: str = "player_name
     )
     open_names = staged.where(F.col("_found").isNull())
 
-    # Two names a few edits apart share a spelling once both lose as many letters,
-    # so near names meet on equal keys instead of being paired with one another.
-    forms = lambda n: F.array_union(names.spellings(names.normalize_name(n)), names.spellings(names.sorted_words(n)))
-    asked_forms = open_names.select("_name", F.explode(forms(F.col("_name"))).alias("_b"))
-    known_forms = known.select("player_id", "name", F.explode(forms(F.col("name"))).alias("_b"))
-    met = asked_forms.join(known_forms, "_b").select("_name", "player_id", "name").distinct()
+    # Of two names within the floor, one of the known name's pieces is whole in the asked name and hardly moved, so near
+    # names meet on equal pieces. Of its pieces a name needs one more than its edits: the rarest ones.
+    forms = lambda n: F.explode(F.array_distinct(F.array(names.normalize_name(n), names.sorted_words(n))))
+    slack = F.floor(F.length("_form") * ((1 - floor) / floor) + 1e-9)
+    known_pieces = (
+        known.where("name is not null").select("player_id", "name", forms(F.col("name")).alias("_form"))
+        .select("player_id", "name", "_form", slack.alias("_edits"), F.explode(names.pieces(F.col("_form"))).alias("_p"))
+        .select("player_id", "name", "_form", "_edits", "_p.piece", "_p.at")
+    )
+    held = known_pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("_held"))
+    rarity = F.row_number().over(Window.partitionBy("player_id", "name", "_form").orderBy("_held", "at"))
+    chosen = known_pieces.join(held, "piece").withColumn("_i", rarity).where(F.col("_i") <= F.col("_edits") + 1)
+    asked_pieces = (
+        open_names.select("_name", forms(F.col("_name")).alias("_asked")).select("_name", "_asked", F.explode(names.stretches(F.col("_asked"))).alias("_q"))
+        .select("_name", "_asked", F.col("_q.piece").alias("piece"), F.col("_q.at").alias("_there"))
+    )
+    near = (F.abs(F.col("at") - F.col("_there")) <= F.col("_edits")) & (F.abs(F.length("_form") - F.length("_asked")) <= F.col("_edits"))
+    met = asked_pieces.join(chosen, "piece").where(near).select("_name", "player_id", "name").distinct()
     scored = met.withColumn("_s", names.name_similarity(F.col("_name"), F.col("name")))
     fuzzy = scored.where(F.col("_s") >= floor).groupBy("_name").agg(
         F.min_by("player_id", F.struct(-F.col("_s"), F.col("player_id"))).alias("_fuzzy")
@@ -62,7 +75,7 @@ def status_changes(reports: DataFrame, stored: DataFrame) -> DataFrame:
     last stored injury event stands before the batch.
     """
     kinds = event_text.INJURY_TYPES
-    start = stored.where(F.col("event_type").isin(*kinds)).groupBy("player_id").agg(F.max_by("event_type", "event_date").alias("event_type"))
+    start = stored.where(F.col("event_type").isin(*kinds)).groupBy("player_id").agg(F.max_by("event_type", F.struct("event_date", "event_type")).alias("event_type"))
     prior = start.select(
         "player_id", "event_type", dates.ts("1900-01-01").alias("event_date"), F.lit(-1).cast("bigint").alias("seq"),
         F.lit(None).cast("string").alias("event_payload"), F.lit(0).alias("_side"),
@@ -171,7 +184,7 @@ def injury_report_rows(rows: DataFrame, day: Column) -> DataFrame:
     note = F.nullif(F.concat_ws(" | ", F.nullif(cell(2), F.lit("")), F.nullif(cell(4), F.lit(""))), F.lit(""))
     return body.select(
         cell(0).alias("player_name"), cell(3).alias("status"), day.alias("status_date"), note.alias("note"),
-        (F.col("table_no") * 100000 + F.col("row_no")).cast("bigint").alias("seq"),
+        (F.shiftleft(F.col("table_no").cast("bigint"), 32) + F.col("row_no")).alias("seq"),
     )
 
 
@@ -200,11 +213,14 @@ def transaction_events(rows: DataFrame, player: DataFrame, stored: DataFrame, si
 def event_refresh(
     daily: dict[str, Callable[[], DataFrame]], weekly: dict[str, Callable[[], DataFrame]], is_monday: bool
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Run each due feed on its own; one feed's failure is recorded and the rest go on."""
+    """Run each due feed on its own and store its events; one feed's failure, in building or in reading it, is recorded and the rest go on.
+
+    The frames returned are the stored ones, so that nothing can fail in them later.
+    """
     done, failed = {}, {}
     for name, build in {**daily, **(weekly if is_monday else {})}.items():
         try:
-            done[name] = build()
+            done[name] = stage(build(), f"feed-{name}")
         except Exception as error:  # noqa: BLE001 - a broken feed must not stop the others
             failed[name] = str(error)
     return done, failed

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from slabmill.config import ANCHORS, Allocation
 from slabmill.functions import cards
 from slabmill.operators.asof import asof_slice, asof_slice_closed, first_by, latest_by
-from slabmill.operators.ordering import spread_row_number
+from slabmill.operators.ordering import spread_row_number, value_bucket
+from slabmill.session import stage
 
 DATE = "as_of_date"
 
@@ -162,41 +163,56 @@ def build_portfolio(
     return out.withColumn("is_override", F.lit(False))
 
 
-def grading_overlay(candidates: DataFrame, config: Allocation, chunk: int = 10_000) -> DataFrame:
-    """Buy ranked candidates that still fit the budget, skipping those that do not.
+def grading_overlay(candidates: DataFrame, config: Allocation) -> DataFrame:
+    """Per date, buy ranked candidates that still fit that date's budget, skipping those that do not.
 
-    The choice depends on what was bought before, so it walks the ranking in pages.
-    Each page is a distributed top-n of the candidates that can still be afforded;
-    the walk ends when none can, and holds only what the budget could buy.
+    A round takes, for all dates at once, the longest run of the ranking that the money left can pay for; the candidate after it and all
+    that cost more than what is then left drop out, and the next round goes on behind it. Running sums are taken over value buckets first
+    and over rows only in the bucket where the money ends, so no ranking is in one task and no row comes to the driver.
     """
-    spark = candidates.sparkSession
     budget = min(config.overlay_weight, config.overlay_max) * config.aum
-    ranked = candidates.select(DATE, "card_id", F.col("raw_price").cast("double").alias("cost"), "ev_per_dollar")
-    bought, after = [], None
-    while budget > 0:
-        page = ranked.where(F.col("cost") <= budget)
-        if after is not None:
-            value, card = after
-            page = page.where((F.col("ev_per_dollar") < value) | ((F.col("ev_per_dollar") == value) & (F.col("card_id") > card)))
-        rows = page.orderBy(F.col("ev_per_dollar").desc(), "card_id").limit(chunk).collect()
-        for r in rows:
-            if r["cost"] <= budget:
-                budget -= r["cost"]
-                bought.append((r[DATE], r["card_id"], r["cost"]))
-        if len(rows) < chunk:
+    ranked = candidates.select(DATE, "card_id", F.col("raw_price").cast("double").alias("cost"), F.col("ev_per_dollar").cast("double").alias("_ev"))
+    ranked = ranked.where("cost is not null and _ev is not null").withColumn("_bucket", -value_bucket(F.col("_ev")))
+    left = ranked.withColumn("_money", F.lit(float(budget))).where(F.col("cost") <= F.col("_money"))
+    bought = None
+    while True:
+        left = stage(left, "overlay-left")
+        if bought is not None and left.isEmpty():
             break
-        after = (rows[-1]["ev_per_dollar"], rows[-1]["card_id"])
-    picked = spark.createDataFrame(bought, f"{DATE} date, card_id long, target_usd_value double")
-    return picked.select(
+        order = Window.partitionBy(DATE).orderBy("_bucket")
+        buckets = left.groupBy(DATE, "_bucket").agg(F.sum("cost").alias("_sum"), F.first("_money").alias("_money"))
+        buckets = buckets.withColumn("_upto", F.sum("_sum").over(order)).withColumn("_last", F.min(F.when(F.col("_upto") > F.col("_money"), F.col("_bucket"))).over(Window.partitionBy(DATE)))
+        placed = left.join(buckets.select(DATE, "_bucket", (F.col("_upto") - F.col("_sum")).alias("_before"), "_last"), [DATE, "_bucket"])
+        here = F.col("_bucket") == F.col("_last")
+        rows = Window.partitionBy(DATE, "_bucket", F.when(~here, F.pmod(F.xxhash64("card_id"), F.lit(64))).otherwise(-1)).orderBy(F.desc("_ev"), "card_id")
+        spent = F.col("_before") + F.when(here, F.sum("cost").over(rows.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0.0)
+        fits = F.col("_last").isNull() | (F.col("_bucket") < F.col("_last")) | (here & (spent <= F.col("_money")))
+        marked = stage(placed.withColumn("_fits", fits), "overlay-round")
+        now = marked.where("_fits").select(DATE, "card_id", "cost")
+        bought = now if bought is None else bought.union(now)
+        rest = marked.where("not _fits").groupBy(DATE).agg(F.max_by("_ev", _rank()).alias("_at_ev"), F.max_by("card_id", _rank()).alias("_at_card"))
+        paid = marked.where("_fits").groupBy(DATE).agg(F.sum("cost").alias("_paid"))
+        behind = (F.col("_ev") < F.col("_at_ev")) | ((F.col("_ev") == F.col("_at_ev")) & (F.col("card_id") > F.col("_at_card")))
+        left = (
+            marked.where("not _fits").join(rest, DATE).join(paid, DATE, "left").where(behind)
+            .withColumn("_money", F.col("_money") - F.coalesce("_paid", F.lit(0.0))).where(F.col("cost") <= F.col("_money"))
+            .select(DATE, "card_id", "cost", "_ev", "_bucket", "_money")
+        )
+    return bought.select(
         DATE,
         "card_id",
         F.lit("grading_arbitrage").alias("sleeve"),
-        (F.col("target_usd_value") / config.aum).alias("target_weight_pct"),
+        (F.col("cost") / config.aum).alias("target_weight_pct"),
         F.lit("grading_arbitrage").alias("signal_source"),
-        "target_usd_value",
+        F.col("cost").alias("target_usd_value"),
     )
 
 
+def _rank() -> Column:
+    """Greatest for the first of the ranking: value descending, card ascending."""
+    return F.struct("_ev", -F.col("card_id"))
+
+
 def sleeve_cap(sleeve: Column, config: Allocation) -> Column:
     return F.when(sleeve == "anchor", config.anchor_cap).when(sleeve == "prospect", config.prospect_cap).otherwise(config.other_cap)
 

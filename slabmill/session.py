@@ -68,6 +68,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, of whatever store Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def is_stored(spark: SparkSession, path: str) -> bool:
+    files, where = hadoop_path(spark, path)
+    return files.exists(where)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared one, grouped by application so it can be purged."""
     app = spark.sparkContext.applicationId

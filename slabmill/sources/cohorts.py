@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slabmill.session import is_stored
+
 
 def normalize_frame(df: DataFrame, schema: T.StructType, defaults: Mapping[str, Any] | None = None) -> DataFrame:
     """Project to ``schema``: missing columns added, values cast where they can be, NULLs defaulted."""
@@ -28,10 +29,9 @@ def normalize_frame(df: DataFrame, schema: T.StructType, defaults: Mapping[str,
 
 def read_cohort(spark: SparkSession, root: str, schema: T.StructType, key: str, values: Sequence | None = None) -> DataFrame:
     """Cohort rows of the wanted partitions; absent partitions are simply not there."""
-    try:
-        df = spark.read.schema(schema).parquet(root)
-    except AnalysisException:
+    if not is_stored(spark, root):
         return spark.createDataFrame([], schema)
+    df = spark.read.schema(schema).parquet(root)
     return df if values is None else df.where(F.col(key).isin(*values))
 
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JError
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from slabmill.operators.asof import first_by
 from slabmill.schemas import TABLES, Table
-from slabmill.session import stage
+from slabmill.session import hadoop_path, is_stored, stage
 
 
 def quantize(df: DataFrame, scales: Mapping[str, tuple[int, int]]) -> DataFrame:
@@ -35,10 +34,9 @@ class Warehouse:
     def read_table(self, name: str) -> DataFrame:
         """The table, or an empty frame of its declared schema while nothing is stored."""
         table = self.tables[name]
-        try:
-            return self.spark.read.schema(table.schema).parquet(self.path(name))
-        except AnalysisException:
+        if not is_stored(self.spark, self.path(name)):
             return self.spark.createDataFrame([], table.schema)
+        return self.spark.read.schema(table.schema).parquet(self.path(name))
 
     def conform(self, df: DataFrame, name: str) -> DataFrame:
         """Cast to the declared schema; absent columns are NULL, NaN is NULL."""
@@ -79,15 +77,17 @@ class Warehouse:
         fresh = ranked.join(self.read_table(name).select(*key), key, "left_anti")
         return self._write(fresh.select(*rows.columns), name, "append")
 
-    def upsert(self, df: DataFrame, name: str) -> int:
-        """Insert or replace by key, rewriting only the partitions the batch touches.
+    def upsert(self, df: DataFrame, name: str, order: Sequence[str] | None = None) -> int:
+        """Insert or replace by key, rewriting only the partitions the batch touches; returns the number of keys in the batch.
 
+        Of equal keys in the batch the least ``order`` (else of all other columns) wins.
         Partition columns are part of the key, so a key never changes its partition.
         The merged rows are staged before their old files are replaced.
         """
         table = self.tables[name]
         key, parts = list(table.key), list(table.partitions)
-        rows = self.conform(df, name)
+        least = list(order or [c for c in table.schema.names if c not in key]) or key
+        rows = stage(first_by(self.conform(df, name), key, least), f"batch_{name}")
         stored = self.read_table(name)
         if parts:
             stored = stored.join(rows.select(*parts).distinct(), parts, "left_semi")
@@ -95,8 +95,17 @@ class Warehouse:
         self._write(merged, name, "overwrite")
         return rows.count()
 
-    def replace_slice(self, df: DataFrame, name: str) -> int:
-        """Replace exactly the partitions present in ``df``; an empty batch changes nothing."""
-        if not self.tables[name].partitions:
+    def replace_slice(self, df: DataFrame, name: str, slices: Sequence[Mapping[str, object]] = ()) -> int:
+        """Replace the partitions present in ``df``, and clear those that ``slices`` names (column to value) first.
+
+        A job that recomputes a slice names it, so that a result without rows leaves no old rows behind.
+        """
+        parts = self.tables[name].partitions
+        if not parts:
             raise ValueError(f"{name} has no slice columns")
+        for values in slices:
+            if set(values) != set(parts):
+                raise ValueError(f"a slice of {name} is one value of each of {parts}")
+            files, where = hadoop_path(self.spark, self.path(name) + "".join(f"/{p}={values[p]}" for p in parts))
+            files.delete(where, True)
         return self._write(self.conform(df, name), name, "overwrite")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -201,11 +202,32 @@ def test_tilt_keeps_sleeve_totals(spark):
 
 
 def test_overlay_skips_what_does_not_fit(spark):
-    rows = [(date(2024, 12, 1), i, c, v) for i, c, v in ((1, 60.0, 0.9), (2, 50.0, 0.8), (3, 30.0, 0.7), (4, 10.0, 0.6), (5, 1.0, 0.5))]
+    ranking = ((1, 60.0, 0.9), (2, 50.0, 0.8), (3, 30.0, 0.7), (4, 10.0, 0.6), (5, 1.0, 0.5), (6, None, 0.4), (7, 0.5, None))
+    rows = [(date(2024, 12, d), i, c, v) for d in (1, 8) for i, c, v in ranking if d == 1 or i > 1]
     pool = spark.createDataFrame(rows, "as_of_date date, card_id long, raw_price double, ev_per_dollar double")
-    for chunk in (1, 2, 100):
-        out = portfolio.grading_overlay(pool, Allocation(aum=1000.0, overlay_weight=0.1), chunk)
-        assert sorted(r.card_id for r in out.collect()) == [1, 3, 4]
+    out = portfolio.grading_overlay(pool, Allocation(aum=1000.0, overlay_weight=0.1)).collect()
+    assert sorted((r.as_of_date.day, r.card_id) for r in out) == [(1, 1), (1, 3), (1, 4), (8, 2), (8, 3), (8, 4), (8, 5)]
+
+
+def test_overlay_is_the_walk_down_the_ranking(spark):
+    rng = random.Random(3)
+    rows = [(date(2024, 12, 1 + i % 3), i, rng.uniform(1, 90), round(rng.random(), 2)) for i in range(400)]
+    pool = spark.createDataFrame(rows, "as_of_date date, card_id long, raw_price double, ev_per_dollar double")
+    right = []
+    for day in {r[0] for r in rows}:
+        money = 1000.0
+        for r in sorted((r for r in rows if r[0] == day), key=lambda r: (-r[3], r[1])):
+            if r[2] <= money:
+                money -= r[2]
+                right.append((day, r[1]))
+    out = portfolio.grading_overlay(pool, Allocation(aum=10_000.0, overlay_weight=0.1)).collect()
+    assert sorted((r.as_of_date, r.card_id) for r in out) == sorted(right)
+
+
+def test_allocation_refuses_senseless_parameters():
+    for wrong in ({"other_cap": -0.1}, {"overlay_weight": 1.5}, {"anchor_weight": 0.5}, {"decile_long": 0}):
+        with pytest.raises(ValueError):
+            Allocation(**wrong)
 
 
 TITLES = [

@@ -41,6 +41,8 @@ def asof_join(
 
     ``rights`` lists (frame, timestamp column, {output: source column}); all of
     them are matched in the same union and the same window, on the same keys.
+    Of right rows at one time the one with the greatest output values counts, so the
+    result doesn't hang on the order of the rows.
     """
     keys = list(keys)
     payloads = [f"_p{i}" for i in range(len(rights))]
@@ -74,7 +76,7 @@ def asof_join(
         )
     tagged = tagged.withColumn("_seg", F.date_trunc(segment, "_ts"))
     within = (
-        Window.partitionBy(*keys, "_seg").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "_seg").orderBy("_ts", "_side", *payloads).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = tagged
     for p in payloads:
@@ -82,7 +84,7 @@ def asof_join(
     local = local.where(F.col("_side") == 1).drop("_side", "_ts")
 
     summary = tagged.groupBy(*keys, "_seg").agg(
-        *[F.max_by(p, F.when(F.col(p).isNotNull(), F.col("_ts"))).alias(p) for p in payloads]
+        *[F.max_by(p, F.when(F.col(p).isNotNull(), F.struct("_ts", p))).alias(p) for p in payloads]
     )
     earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(

@@ -29,7 +29,8 @@ def elements(html: Column, tags: str) -> Column:
 def attribute(element: Column, name: str) -> Column:
     """Attribute of the element's own opening tag, or NULL."""
     opening = F.regexp_extract(element, r"(?s)^<[^>]*>", 0)
-    return F.nullif(F.regexp_extract(opening, rf'(?i)\b{name}="([^"]*)"', 1), F.lit(""))
+    found = F.regexp_extract(opening, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.nullif(F.btrim(found, F.lit("\"'")), F.lit(""))
 
 
 def explode_html_rows(

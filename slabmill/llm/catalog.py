@@ -61,7 +61,43 @@ def sharded(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op3_quality_rules")
+_RULES_SQL = r"""
+with docs as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), counted as (
+    select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+           list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+    from docs
+), placed as (
+    select r, unnest(range(1, len(words) - 3)) as i, words from counted where len(words) >= 5
+), windows as (
+    select r, i, array_to_string(list_slice(words, i, i + 4), ' ') as five from placed
+), twice as (
+    select r, i from windows qualify count(*) over (partition by r, five) > 1
+), covered as (
+    select r, count(distinct i + k) as n from twice, range(0, 5) t(k) group by r
+), measured as (
+    select c.r, doc_id, text, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+           len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(lines) as n_lines,
+           length(text) - length(replace(text, '!', '')) as n_marks,
+           length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_upper, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) as n_lower,
+           length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) as n_digits,
+           len(list_filter(list_zip(words, words[2:]), lambda x: x[1] = x[2])) as n_stutters
+    from counted c left join covered v on v.r = c.r
+), judged as (
+    select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+           10 * n_symbols > n_words or 10 * n_marks > 2 * n_words or 10 * n_upper > 4 * (n_upper + n_lower) or 10 * n_dup_lines > 5 * n_lines
+           or 10 * n_stutters > 2 * n_words or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * n_digits > 5 * word_chars as rejected
+    from measured
+)
+select doc_id, n_words::bigint as n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+       n_repeat_words::bigint as n_repeat_words, base_failed, not base_failed and not rejected as kept
+from judged
+"""
+
+
+@query("op3_quality_rules", _RULES_SQL)
 def quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, folder, "documents")).drop("rejected_by")
 
@@ -120,6 +156,30 @@ def language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score_texts(table(spark, folder, "documents"))
 
 
-@query("op8_ngram_jaccard_join")
+_NEAR_SQL = r"""
+with recursive worded as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+    from documents
+), placed as (
+    select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from worded where len(words) > 0
+), shingles as (
+    select distinct doc_id, array_to_string(list_slice(words, i, i + 4), ' ') as shingle from placed
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+    select x, y from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)
+), reached as (
+    select x as doc_id, y as other from links union select r.doc_id, l.y from reached r join links l on l.x = r.other
+), least as (
+    select doc_id, min(other) as other from reached group by doc_id
+)
+select w.doc_id, coalesce(n, 0) as n_shingles, least(w.doc_id, coalesce(other, w.doc_id)) as component_id
+from worded w left join sizes s on s.doc_id = w.doc_id left join least l on l.doc_id = w.doc_id
+"""
+
+
+@query("op8_ngram_jaccard_join", _NEAR_SQL)
 def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_copy_groups(table(spark, folder, "documents"))

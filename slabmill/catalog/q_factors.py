@@ -312,6 +312,20 @@ def _(m):
     return index.repeat_sales_index(m.tx_clean, m.card_master)
 
 
+@query("d02_normal_equations", """
+select era, grade_tier, period_start, count(*) n_pairs, 0.0::double gradient from (
+ select era, grade_tier, bucket0 period_start from index_pairs union all select era, grade_tier, bucket1 from index_pairs) e group by all""", gradient=5)
+def _(m):
+    """Least squares leaves no gradient in any period that pairs touch."""
+    parts = ["era", "grade_tier"]
+    level = m.weekly_index.select(*parts, "period_start", F.log("index_value").alias("x"))
+    stats = index.pair_statistics(index.build_pairs(index.partitioned_sales(m.tx_clean, m.card_master)))
+    ends = [level.select(*parts, F.col("period_start").alias(f"bucket{i}"), F.col("x").alias(f"x{i}")) for i in (0, 1)]
+    rest = stats.join(ends[0], [*parts, "bucket0"]).join(ends[1], [*parts, "bucket1"]).withColumn("r", F.col("sum_y") - F.col("n") * (F.col("x1") - F.col("x0")))
+    sides = [rest.select(*parts, F.col(f"bucket{i}").alias("period_start"), "n", (s * F.col("r")).alias("r")) for i, s in ((0, -1.0), (1, 1.0))]
+    return sides[0].union(sides[1]).groupBy(*parts, "period_start").agg(F.sum("n").alias("n_pairs"), F.sum("r").alias("gradient"))
+
+
 @query("d02_repeat_sales_index_monthly", index_value=6, se=6)
 def _(m):
     return index.repeat_sales_index(m.tx_clean, m.card_master, "monthly", ("PSA10", "PSA9", "PSA8", "lower", "all"), with_all_eras=True)

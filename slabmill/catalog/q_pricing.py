@@ -600,9 +600,27 @@ def _(m):
     return hedonic.time_cutoff(hedonic.graded_scope(m.tx_clean))
 
 
-@query("d10_hedonic_predictions", predicted_log_price=4)
-def _(m):
+def _model_predictions(m):
     features = m.stored("hedonic_features", lambda: _features(m))
     fit = hedonic.hedonic_fit(features)
-    return hedonic.hedonic_predict(fit.model, features).select("tx_id", "log_price", "predicted_log_price")
+    return hedonic.hedonic_predict(fit.model, features).select("tx_id", "sold_at", "slab_grade", "parallel_tier", "log_price", "predicted_log_price", F.lit(fit.cutoff).cast("timestamp").alias("cutoff"))
+
+
+@query("d10_hedonic_predictions", predicted_log_price=4)
+def _(m):
+    return m.stored("hedonic_predictions", lambda: _model_predictions(m)).select("tx_id", "log_price", "predicted_log_price")
+
+
+@query("d10_fit_quality", """
+with c as (select to_timestamp(quantile_cont(epoch(sold_at), 0.8)) at time zone 'UTC' cutoff from hedonic_features)
+select count(*) n, count(*) filter (sold_at >= cutoff) n_holdout, true beats_group_mean, round(avg(log_price), 6) mean_log_price from hedonic_features, c""", mean_log_price=5)
+def _(m):
+    """The fitted model covers every feature row, splits by time and predicts better than the mean of grade and scarcity."""
+    rows = m.stored("hedonic_predictions", lambda: _model_predictions(m))
+    means = rows.groupBy("slab_grade", "parallel_tier").agg(F.avg("log_price").alias("mean"))
+    error = lambda c: F.avg(F.abs(F.col(c) - F.col("log_price")))
+    return rows.join(means, ["slab_grade", "parallel_tier"]).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("sold_at") >= F.col("cutoff")).alias("n_holdout"),
+        (error("predicted_log_price") < error("mean")).alias("beats_group_mean"), F.avg("log_price").alias("mean_log_price"),
+    )
 

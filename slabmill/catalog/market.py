@@ -22,6 +22,11 @@ weeks_in_k = partial(catalyst.injury_weight, weeks_key="k")
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def forget() -> None:
+    """Drop all derived tables, for timings that are to stand alone or where a source folder has changed."""
+    _STORED.clear()
+
+
 class Market(Bridge):
     @property
     def as_of(self):

@@ -94,3 +94,12 @@ def test_concordance_equals_pair_counting(spark):
         ds = part["s"].to_numpy()[:, None] - part["s"].to_numpy()
         upper = np.triu(np.ones_like(dy, bool), 1)
         assert got[g] == (int((upper & (dy * ds > 0)).sum()), int((upper & (dy != 0)).sum()))
+
+
+def test_null_values_and_groups_are_numbered_and_grouped(spark):
+    rows = [(1, "a", 3.0), (2, "a", None), (3, "a", 1.0), (4, None, 5.0), (5, None, None), (None, "a", None)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    got = spread_row_number(df, "n", "v", "id", ["g"], descending=True, count_as="all")
+    assert sorted((r.g or "", r.n, r.id, r.all) for r in got.collect()) == [("", 1, 4, 2), ("", 2, 5, 2), ("a", 1, 1, 4), ("a", 2, 3, 4), ("a", 3, 2, 4), ("a", 4, None, 4)]
+    medians = {r.g: r.m for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert medians == {"a": 2.0, None: 5.0}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -366,3 +367,64 @@ def test_small_columns(spark):
     r = df.select(dates.season_end_year(F.col("season")).alias("y"), sc.height_inches(F.col("h")).alias("h"), sc.expected_draft_year(F.col("season"), F.col("c")).alias("d"),
                   dates.season_end_date(F.lit("2023-24")).alias("e"), money.net_proceeds(F.lit(100.0), F.lit("ebay")).alias("n")).first()
     assert (r.y, r.h, r.d, r.e, r.n) == (2000, 79.25, 2002, datetime(2024, 6, 30), pytest.approx(86.45))
+
+
+def test_near_names_of_any_length_are_found(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def near(name: str, edits: int) -> str:
+        out = list(name)
+        for at in rng.sample(range(len(out)), edits):
+            out[at] = rng.choice(letters)
+        return "".join(out)
+
+    known = ["".join(rng.choices(letters, k=n)) for n in (8, 10, 15, 22, 39, 40, 52, 120, 300)]
+    asked = [near(k, int(0.12 * len(k))) for k in known] + [near(known[6], 5) + "x", "nobody like this", "ab", ""]
+    feed = spark.createDataFrame([(a,) for a in asked] + [(None,)], "player_name string")
+    player = spark.createDataFrame(list(enumerate([*known, "no", None])), "player_id long, name string")
+    got = {r.player_name: r.player_id for r in events.resolve_names(feed, player).collect()}
+    assert [got[a] for a in asked[:9]] == list(range(9)) and got[asked[9]] == 6
+    assert got["nobody like this"] is None and got["ab"] is None and got[""] is None
+
+
+def test_report_rows_keep_their_order_beyond_any_table_size(spark):
+    cells = ["Some Player", "G", "Jan 1", "Out", "knee"]
+    rows = spark.createDataFrame([(0, 100_001, cells), (1, 0, cells), (0, 5, cells)], "table_no int, row_no int, cells array<string>")
+    seq = [r.seq for r in events.injury_report_rows(rows, F.lit("2024-01-01")).orderBy("seq").collect()]
+    assert len(set(seq)) == 3 and seq == [5, 100_001, 1 << 32]
+
+
+def test_a_batch_with_equal_keys_and_a_slice_without_rows(spark, tmp_path):
+    wh = Warehouse(spark, str(tmp_path))
+    day = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(1, "PSA", 10.0, n, day) for n in (7, 5, 9)] + [(2, "PSA", 10.0, 1, day)], "card_id long, grader string, grade double, pop_count long, snapshot_date timestamp")
+    assert wh.upsert(rows, "pop_snapshots", order=["pop_count"]) == 2
+    assert sorted((r.card_id, r.pop_count) for r in wh.read_table("pop_snapshots").collect()) == [(1, 5), (2, 1)]
+    panel = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 8))], "card_id long, as_of_date date")
+    wh.replace_slice(panel, "factor_panel")
+    wh.replace_slice(panel.limit(0), "factor_panel", slices=[{"as_of_date": "2024-01-08"}])
+    assert [r.card_id for r in wh.read_table("factor_panel").collect()] == [1]
+
+
+def test_a_damaged_table_is_not_an_empty_one(spark, tmp_path):
+    (tmp_path / "tx_raw").mkdir()
+    (tmp_path / "tx_raw" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        Warehouse(spark, str(tmp_path)).read_table("tx_raw").count()
+
+
+def test_labelled_titles(spark):
+    """An own set of labelled titles: at least 95 % have every field right."""
+    rows = [line.rstrip("\n").split("|") for line in (Path(__file__).parent / "labelled_titles.txt").open(encoding="utf-8") if not line.startswith("#")]
+    assert len(rows) >= 84 and all(len(r) == 9 for r in rows)
+    got = {r.raw_title: r.p for r in titles.with_title_fields(spark.createDataFrame([(r[0],) for r in rows], "raw_title string")).collect()}
+    wrong = []
+    for title, card_year, maker, set_name, parallel, number, slab, grade, flags in rows:
+        p = got[title]
+        right = (int(card_year) if card_year else None, maker or None, set_name or None, parallel, number or None, slab or None, float(grade) if grade else None, flags)
+        made = "".join(c for c, on in (("r", p.is_rookie), ("a", p.has_auto), ("p", p.has_patch), ("o", p.is_one_of_one)) if on)
+        mine = (p.card_year, p.manufacturer, p.set_name, p.parallel, p.card_number, p.slab_grader, p.slab_grade, made)
+        if mine != right:
+            wrong.append((title, mine, right))
+    assert len(wrong) <= 0.05 * len(rows), wrong

@@ -32,8 +32,8 @@ HELD_BYTES = 48
 #: The end of a text as a token; no word can be a line feed.
 END = b"\n"
 #: Distinct words that a task counts before it passes them on.
-_FLUSH = 400_000
-#: Text bytes that are scored at once.
+_FLUSH = 250_000
+#: Text bytes that a task works on at once.
 _AT_ONCE = 3 << 20
 
 _WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -166,7 +166,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=_WORDS)
             counts.clear()
 
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, size=_AT_ONCE):
             for key, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 if not is_held_out(key):
                     counts.update(words_of(text.lower()))
@@ -207,27 +207,19 @@ def _trigrams(docs: DataFrame, shared) -> DataFrame:
     """Class trigrams of the training texts with their counts, packed by task; bounded by 256^3 a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, parts = shared.value, []
-
-        def packed(found: list) -> tuple[np.ndarray, np.ndarray]:
-            codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-            return codes, np.bincount(where, np.concatenate([n for _, n in found])).astype(np.int64)
-
-        for batch, texts in slices(batches):
+        v, total = shared.value, np.zeros(CLASSES**3, np.int32)
+        for batch, texts in slices(batches, size=_AT_ONCE):
             words = [words_of(t.lower()) for k, t in zip(batch.column(0).to_pylist(), texts, strict=True) if not is_held_out(k)]
             if words:
                 class_of = {w: v.class_of(w) for w in set().union(*words)}
                 flat = np.fromiter(map(class_of.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
                 here = _class_sequences(words, flat, v)[0]
                 codes, n = np.unique((here[:-2] << 16 | here[1:-1] << 8 | here[2:])[here[2:] != 0], return_counts=True)
-                parts.append((codes, n))
-                if len(parts) == 8:
-                    parts = [packed(parts)]
-        if parts:
-            codes, n = packed(parts)
-            for at in range(0, len(codes), 1 << 19):
-                part = slice(at, at + (1 << 19))
-                yield pa.RecordBatch.from_arrays([pa.array([codes[part].astype("<i4").tobytes()]), pa.array([n[part].astype("<i8").tobytes()])], schema=_GRAMS)
+                total[codes] += n.astype(np.int32)
+        codes = np.flatnonzero(total)
+        for at in range(0, len(codes), 1 << 19):
+            some = codes[at : at + (1 << 19)]
+            yield pa.RecordBatch.from_arrays([pa.array([some.astype("<i4").tobytes()]), pa.array([total[some].astype("<i8").tobytes()])], schema=_GRAMS)
 
     return docs.mapInArrow(count, "codes binary, counts binary")
 

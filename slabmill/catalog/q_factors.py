@@ -345,12 +345,12 @@ def _(m):
 
 @query("d52_index_vs_benchmark", """
 with b as (select date_trunc('week', o_orderdate) period_start, avg(o_totalprice) bench from orders group by 1),
-j as (select period_start, ln(index_value) a, ln(bench) b from level_index join b using (period_start) where era = 'modern'),
-d as (select *, a - lag(a) over (order by period_start) da, b - lag(b) over (order by period_start) db from j)
-select count(*) periods, corr(a, b) level_corr, corr(da, db) return_corr from d having count(*) >= 4""", level_corr=6, return_corr=6)
+j as (select era, period_start, ln(index_value) a, ln(bench) b from level_index join b using (period_start)),
+d as (select *, a - lag(a) over (partition by era order by period_start) da, b - lag(b) over (partition by era order by period_start) db from j)
+select era, count(*) periods, corr(a, b) level_corr, corr(da, db) return_corr from d group by era having count(*) >= 4""", level_corr=6, return_corr=6)
 def _(m):
     bench = m.raw("orders").select(F.col("o_orderdate").cast("timestamp").alias("date"), F.col("o_totalprice").alias("value"))
-    return index.index_vs_benchmark(m.level_index.where("era = 'modern'"), bench)
+    return index.index_vs_benchmark(m.level_index, bench, by=["era"])
 
 
 @query("a37_benchmark_weekly", "select date_trunc('week', o_orderdate) period_start, avg(o_totalprice) bench from orders group by 1", bench=4)
@@ -361,10 +361,10 @@ def _(m):
 
 @query("j25_aligned_periods", """
 with b as (select date_trunc('week', o_orderdate) period_start, avg(o_totalprice) bench from orders group by 1)
-select period_start, index_value, bench from level_index join b using (period_start) where era = 'modern'""", index_value=6, bench=4)
+select era, period_start, index_value, bench from level_index join b using (period_start)""", index_value=6, bench=4)
 def _(m):
     bench = m.raw("orders").select(F.col("o_orderdate").cast("timestamp").alias("date"), F.col("o_totalprice").alias("value"))
-    ours = m.level_index.where("era = 'modern'").select("period_start", "index_value")
+    ours = m.level_index.select("era", "period_start", "index_value")
     return ours.join(index.benchmark_weekly(bench), "period_start")
 
 

@@ -358,13 +358,13 @@ def _(m):
 
 
 @query("r19_index_returns", f"""
-with s as (select period_start as_of, index_value from level_index where era = 'modern'), v as (
- select (select arg_max(index_value, as_of) from s where as_of <= timestamp '1999-12-31') a, (select arg_max(index_value, as_of) from s where as_of <= timestamp '1999-11-30') b,
- (select arg_max(index_value, as_of) from s where as_of <= timestamp '1999-09-30') c, (select arg_max(index_value, as_of) from s where as_of <= timestamp '1998-12-31') d)
-select coalesce(a / b - 1, 0) r1m, coalesce(a / c - 1, 0) r3m, coalesce(a / d - 1, 0) r12m from v""", r1m=6, r3m=6, r12m=6)
+with s as (select era, period_start as_of, index_value from level_index), v as (
+ select era, arg_max(index_value, as_of) filter (as_of <= timestamp '1999-12-31') a, arg_max(index_value, as_of) filter (as_of <= timestamp '1999-11-30') b,
+ arg_max(index_value, as_of) filter (as_of <= timestamp '1999-09-30') c, arg_max(index_value, as_of) filter (as_of <= timestamp '1998-12-31') d from s group by era)
+select era, coalesce(a / b - 1, 0) r1m, coalesce(a / c - 1, 0) r3m, coalesce(a / d - 1, 0) r12m from v""", r1m=6, r3m=6, r12m=6)
 def _(m):
-    series = m.level_index.where("era = 'modern'").select(F.col("period_start").alias("as_of"), "index_value")
-    return reports.index_returns(series, "1999-12")
+    series = m.level_index.select("era", F.col("period_start").alias("as_of"), "index_value")
+    return reports.index_returns(series, "1999-12", by=["era"])
 
 
 @query("r19_month_trades", "select cast(o_orderdate as date) trade_date, o_orderkey card_id from orders where o_orderdate >= timestamp '1997-03-01' and o_orderdate < timestamp '1997-04-01'")

@@ -226,17 +226,17 @@ def benchmark_weekly(bench: DataFrame) -> DataFrame:
     return bench.groupBy(dates.week_monday(F.col("date")).alias("period_start")).agg(F.avg("value").alias("bench"))
 
 
-def index_vs_benchmark(index: DataFrame, bench: DataFrame, min_periods: int = 4) -> DataFrame:
-    """Correlation of log levels and of log changes over shared weeks."""
+def index_vs_benchmark(index: DataFrame, bench: DataFrame, min_periods: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """Correlation of log levels and of log changes over shared weeks, for each series that ``by`` names."""
     both = (
-        index.select("period_start", F.col("index_value").alias("ours"))
+        index.select(*by, "period_start", F.col("index_value").alias("ours"))
         .join(benchmark_weekly(bench), "period_start")
         .dropna(subset=["ours", "bench"])
-        .select("period_start", F.log("ours").alias("a"), F.log("bench").alias("b"))
+        .select(*by, "period_start", F.log("ours").alias("a"), F.log("bench").alias("b"))
     )
-    # One row per calendar week: a single ordered window is small at any data size.
-    order = Window.orderBy("period_start")
-    steps = both.select("a", "b", (F.col("a") - F.lag("a").over(order)).alias("da"), (F.col("b") - F.lag("b").over(order)).alias("db"))
-    out = steps.agg(F.count(F.lit(1)).alias("periods"), F.corr("a", "b").alias("level_corr"), F.corr("da", "db").alias("return_corr"))
+    # One row per series and calendar week: an ordered window is small at any data size.
+    order = Window.partitionBy(*by).orderBy("period_start")
+    steps = both.select(*by, "a", "b", (F.col("a") - F.lag("a").over(order)).alias("da"), (F.col("b") - F.lag("b").over(order)).alias("db"))
+    out = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("periods"), F.corr("a", "b").alias("level_corr"), F.corr("da", "db").alias("return_corr"))
     return out.where(F.col("periods") >= min_periods)
 

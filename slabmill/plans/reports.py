@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -250,8 +252,8 @@ def grading_leaderboard(ev: DataFrame, card: DataFrame, player: DataFrame, n: in
     )
 
 
-def index_returns(series: DataFrame, month: str) -> DataFrame:
-    """1, 3 and 12 month return of one index series at a month's end; 0 without a base."""
+def index_returns(series: DataFrame, month: str, by: Sequence[str] = ()) -> DataFrame:
+    """1, 3 and 12 month return of each index series at a month's end; 0 without a base."""
     end = F.last_day(F.lit(f"{month}-01").cast("date")).cast("timestamp")
     cuts = {"r1m": 1, "r3m": 3, "r12m": 12}
     at = F.col("as_of")
@@ -259,7 +261,7 @@ def index_returns(series: DataFrame, month: str) -> DataFrame:
     def value(cut: Column) -> Column:
         return F.max_by("index_value", F.when(at <= cut, at))
 
-    return series.agg(
+    return series.groupBy(*by).agg(
         *[F.coalesce(value(end) / value(F.add_months(end.cast("date"), -k).cast("timestamp")) - 1, F.lit(0.0)).alias(n) for n, k in cuts.items()]
     )
 

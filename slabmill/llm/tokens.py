@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -31,7 +33,7 @@ class ChunkEncoder:
     Strings that look like special tokens are ordinary text. Ids come as little-endian unsigned integers.
     """
 
-    def __init__(self, path: str, kind: str, dtype: str = "<u4", remember: int = 700_000):
+    def __init__(self, path: str, kind: str, dtype: str = "<u4", remember: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -102,19 +104,18 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [self._keys(t) for t in texts]
-        words = set().union(*parts)
-        new = self._learn(words.difference(self._known))
-        if len(self._known) + len(new) > self._remember:  # go on with the words of these texts
-            known = self._known
-            self._known = {}
-            look_up = {c: known[c] if c in known else new[c] for c in words}
-            if len(look_up) <= self._remember:
-                self._known = look_up
-        else:
-            self._known |= new
-            look_up = self._known
-        found = look_up.__getitem__
-        return [b"".join(map(found, p)) for p in parts]
+        counts = Counter(chain.from_iterable(parts))
+        known = self._known
+        new = self._learn(counts.keys() - known.keys())
+        known |= new
+        found = known.__getitem__
+        out = [b"".join(map(found, p)) for p in parts]
+        for key in new:  # what these texts have but once is seldom met again
+            if counts[key] == 1:
+                del known[key]
+        if len(known) > self._remember:
+            self._known = {k: v for k, v in known.items() if counts[k] > 1}
+        return out
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}

@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python task works on at once, so that its memory does not follow the batch size.
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, where the session doesn't: ten thousand long texts would be one batch of gigabytes."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(SLICE_BYTES))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import mixed, shingle_hashes, word_hashes, words_of
+from slabmill.llm.common import mixed, shingle_hashes, small_batches, word_hashes, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -176,6 +176,7 @@ def with_benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text
     A column that has the name of ``hits`` is replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     found = F.lit(None).cast(HITS)
     for index in _indexes(benchmark, item, item_text):
         search = _searcher(spark.sparkContext.broadcast(index))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import slices, words_of
+from slabmill.llm.common import slices, small_batches, words_of
 from slabmill.session import stage
 
 #: Classes: 0 begins a text, the next ones are single frequent words, the rest share the other words by their endings.
@@ -308,6 +308,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     passes over packed trigram counts; what goes to the driver in a round is one set of parameters.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = stage(_word_counts(rows), "word-counts")
     v = _vocabulary(counts)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import ascii_lower
+from slabmill.llm.common import ascii_lower, small_batches
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -40,6 +40,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: st
     (distinct per hash and document, then per hash), so a line of a third of all documents is summed before it is shuffled;
     the join back to the lines of hot hashes is one that Spark splits. Only positions return to a document, never line texts.
     """
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     whole = F.coalesce(F.col(text), F.lit(""))
     same = F.xxhash64(whole)

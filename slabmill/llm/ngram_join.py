@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import mixed, shingle_hashes, shuffle_partitions, slices, word_hashes, words_of
+from slabmill.llm.common import mixed, shingle_hashes, shuffle_partitions, slices, small_batches, word_hashes, words_of
 from slabmill.llm.graph import components
 from slabmill.llm.line_dedup import WHITE
 from slabmill.session import stage
@@ -371,6 +371,7 @@ def keep_one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "te
 
 def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, same (text hash), n, class, group (a number for each component) and component_id of every row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("same"))
     measured = stage(_documents(rows), "classes")
     documents = measured.where("keys is null").select("doc_id", "same", "n", "class", "sketch")

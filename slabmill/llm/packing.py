@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import slices
+from slabmill.llm.common import slices, small_batches
 from slabmill.llm.tokens import WHITESPACE, encoder
 from slabmill.session import stage
 
@@ -91,6 +91,7 @@ def pack_documents(
     a few sequences in all and not a few a split. Sequence ids are unique numbers without further meaning.
     NULL texts are empty (one end id); NULL or repeated keys are packed like others; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import slices, words_of
+from slabmill.llm.common import slices, small_batches, words_of
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -162,6 +162,7 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     order of :func:`cascade_order` and the first that rejects it ends its cascade. ``rejected_by`` is ``base``, that rule's
     name, or NULL. Rows are judged one by one, so NULL or repeated keys don't matter, and nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     order = [rules[i] for i in cascade_order(docs, rules, sample_rows, text)]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import shuffle_partitions
+from slabmill.llm.common import shuffle_partitions, small_batches
 from slabmill.session import stage
 
 #: Candidate boundaries that one round counts for each boundary that is still open.
@@ -109,6 +109,7 @@ def shard_documents(
     names are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = max(1, -(-shuffle_partitions(spark) // shards))
     buckets = shards * pieces
     own = [c for c in docs.columns if c not in ("size", "shard", "slot")]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import shuffle_partitions, slices
+from slabmill.llm.common import shuffle_partitions, slices, small_batches
 from slabmill.llm.tokens import BYTE_LEVEL, encoder
 
 MANIFEST = "manifest.json"
@@ -70,6 +70,7 @@ def write_token_files(
     numbers a part. NULL keys come first; a NULL text is empty (its end id only); other columns are not read.
     ``folder`` may be any address that pyarrow's file systems open.
     """
+    small_batches(docs.sparkSession)
     dtype = WIDTHS[2 if max(vocabulary - 1, end_id) < 1 << 16 else 4]
     store, root = _store(folder)
     store.create_dir(root, recursive=True)

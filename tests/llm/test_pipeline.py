@@ -12,14 +12,14 @@ from tests.llm.test_ngram_join import all_pairs
 from tests.llm.test_odd_rows import brute_lines
 
 WORDS = "the of and river stone light over under small great house garden walked quietly morning evening letter answer before after where there people".split()
-ITEM = " ".join(f"question{i}" for i in range(30))
+ITEM = " ".join(random.Random(1).choices(WORDS, k=30))
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     rng = random.Random(9)
     prose = lambda n: " ".join(rng.choices(WORDS, k=n))
-    shared = "A line of more than forty characters that very many documents have."
+    shared = "the river and the small stone of the garden walked over there before morning"
     rows = [(i, "\n".join(prose(rng.randrange(10, 40)) for _ in range(4)), "en", "web", 1) for i in range(150)]
     rows += [(200 + i, f"{prose(60)}\n{shared}", "en", "web", 1) for i in range(8)]
     rows += [(300 + i, rows[5][1] + (f" end{i}" if i else ""), "en", "web", 1) for i in range(4)]

@@ -23,7 +23,9 @@ _TOKENS = 255  # the band number of keys that are single shingles
 #: A block that so many classes share counts as frequent; the most frequent ones are known to every task.
 FREQUENT, MAX_FREQUENT = 8, 1_000_000
 #: Keys that a task gathers before it passes them on.
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
+#: Tasks that share the keys of one group, when classes are compared across groups.
+_SPREAD = 8
 _COMPARED = 2_000_000  # sketch words compared at once
 
 _FIRST = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -309,9 +311,11 @@ def _across(live: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame
     """Pairs of classes with a key in common that are not in one group yet and whose sketches allow a link."""
     spark = live.sparkSession
     grouped = live.join(groups, live["class"] == groups["node"], "left").select("key", "class", F.coalesce("component", "class").alias("group"))
-    open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("key")
-    members = grouped.join(open_keys, "key", "left_semi").join(classes.select("class", "n", "sketch"), "class")
-    dealt = members.select("key", "class", "group", "n", "sketch").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("key", "low")
+    members = grouped.join(open_keys, "key").join(classes.select("class", "n", "sketch"), "class")
+    # Keys of one group of near copies hold the same pairs again and again: in a few tasks, which pass on a pair once.
+    place = [F.col("low"), F.pmod(F.xxhash64("key"), F.lit(_SPREAD))]
+    dealt = members.repartition(shuffle_partitions(spark), *place).sortWithinPartitions("key").select("key", "class", "group", "n", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, found = None, set()

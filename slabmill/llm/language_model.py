@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import slices, small_batches, words_of
+from slabmill.llm.common import mixed, slices, small_batches, words_of
 from slabmill.session import stage
 
 #: Classes: 0 begins a text, the next ones are single frequent words, the rest share the other words by their endings.
@@ -22,6 +22,9 @@ CLASSES = 256
 OWN_CLASSES = 128
 DIMENSIONS = 24
 ROUNDS = 3
+#: Training parts: contexts are dealt to them by hash, and a part passes over its own so often in a round.
+PARTS = 8
+PASSES = 8
 NOISE = 64
 #: Contexts in a batch.
 BATCH = 256
@@ -37,7 +40,7 @@ _FLUSH = 250_000
 _AT_ONCE = 3 << 20
 
 _WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-_GRAMS = pa.schema([("codes", pa.binary()), ("counts", pa.binary())])
+_GRAMS = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
 _PARAMETERS = pa.schema([("i", pa.int32()), ("value", pa.float64()), ("weight", pa.float64())])
 _CLASS = pa.schema([("class", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64())])
 _TAIL = pa.struct([("word", pa.binary()), ("class", pa.int32()), ("n", pa.int64())])
@@ -119,8 +122,8 @@ class Parameters(NamedTuple):
         return table
 
 
-def train_nce(start: Parameters, codes: np.ndarray, counts: np.ndarray, log_noise: np.ndarray, seed: int) -> Parameters:
-    """One pass over the class trigrams of a partition (ascending codes): AdaGrad on the noise-contrastive loss.
+def train_nce(start: Parameters, codes: np.ndarray, counts: np.ndarray, log_noise: np.ndarray, seed: int, passes: int = 1) -> Parameters:
+    """Passes over the class trigrams of a part (ascending codes): AdaGrad on the noise-contrastive loss.
 
     A batch is some contexts with the counts of what follows them. As classes are few, the loss takes the expectation over ``NOISE`` noise classes
     a word and not a sample of them, so a batch is three matrix products. A context weighs as the root of its count.
@@ -132,7 +135,7 @@ def train_nce(start: Parameters, codes: np.ndarray, counts: np.ndarray, log_nois
     shift = np.log(noise)
     contexts, first = np.unique(codes >> 8, return_index=True)
     ends = np.append(first[1:], len(codes))
-    order = rng.permutation(len(contexts))
+    order = np.concatenate([rng.permutation(len(contexts)) for _ in range(passes)])
     for at in range(0, len(order), BATCH):
         some = order[at : at + BATCH]
         n = ends[some] - first[some]
@@ -204,7 +207,7 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _trigrams(docs: DataFrame, shared) -> DataFrame:
-    """Class trigrams of the training texts with their counts, packed by task; bounded by 256^3 a task."""
+    """Class trigrams of the training texts with their counts, packed by task and training part; bounded by 256^3 a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, total = shared.value, np.zeros(CLASSES**3, np.int32)
@@ -217,11 +220,40 @@ def _trigrams(docs: DataFrame, shared) -> DataFrame:
                 codes, n = np.unique((here[:-2] << 16 | here[1:-1] << 8 | here[2:])[here[2:] != 0], return_counts=True)
                 total[codes] += n.astype(np.int32)
         codes = np.flatnonzero(total)
-        for at in range(0, len(codes), 1 << 19):
-            some = codes[at : at + (1 << 19)]
-            yield pa.RecordBatch.from_arrays([pa.array([some.astype("<i4").tobytes()]), pa.array([total[some].astype("<i8").tobytes()])], schema=_GRAMS)
+        part = part_of(codes)
+        for k in range(PARTS):
+            mine = codes[part == k]
+            for at in range(0, len(mine), 1 << 19):
+                some = mine[at : at + (1 << 19)]
+                columns = [pa.array([k], pa.int32()), pa.array([some.astype("<i4").tobytes()]), pa.array([total[some].astype("<i8").tobytes()])]
+                yield pa.RecordBatch.from_arrays(columns, schema=_GRAMS)
 
-    return docs.mapInArrow(count, "codes binary, counts binary")
+    return docs.mapInArrow(count, "part int, codes binary, counts binary")
+
+
+def part_of(codes: np.ndarray) -> np.ndarray:
+    """Training parts of class trigrams: by a hash of the context, so that parts are alike and a context is in one of them."""
+    return (mixed((codes >> 8).astype(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
+
+
+def _merged(grams: DataFrame) -> DataFrame:
+    """One row a training part, with the counts of all tasks summed by trigram."""
+
+    def merge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = np.arange(CLASSES**2) << 8
+        contexts = contexts[part_of(contexts) == key[0].as_py()]
+        place = np.zeros(CLASSES**2, np.int64)
+        place[contexts >> 8] = np.arange(len(contexts))
+        total = np.zeros((len(contexts), CLASSES), np.int64)
+        for table in tables:
+            for codes, counts in zip(table.column(1).to_pylist(), table.column(2).to_pylist(), strict=True):
+                codes = np.frombuffer(codes, "<i4")
+                total[place[codes >> 8], codes & 255] += np.frombuffer(counts, "<i8")
+        row, last = np.nonzero(total)
+        columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([(contexts[row] | last).astype("<i4").tobytes()]), pa.array([total[row, last].astype("<i8").tobytes()])]
+        yield pa.RecordBatch.from_arrays(columns, schema=_GRAMS)
+
+    return grams.groupBy("part").applyInArrow(merge, "part int, codes binary, counts binary")
 
 
 def _class_sequences(words: list[list[bytes]], classes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +267,7 @@ def _class_sequences(words: list[list[bytes]], classes: np.ndarray, v: Vocabular
 
 
 def _train(grams: DataFrame, v: Vocabulary) -> Parameters:
-    """Rounds of parallel passes: each partition trains from the same parameters, and the results are averaged by their tokens."""
+    """Rounds of parallel passes: each part trains from the same parameters, and the results are averaged by their tokens."""
     sc = grams.sparkSession.sparkContext
     share = v.class_tokens + 1.0
     share[0] = 1e-3
@@ -246,9 +278,9 @@ def _train(grams: DataFrame, v: Vocabulary) -> Parameters:
 
         def step(batches: Iterator[pa.RecordBatch], start=start, r=r) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for codes, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     codes, counts = np.frombuffer(codes, "<i4").astype(np.int64), np.frombuffer(counts, "<i8")
-                    found = train_nce(start.value, codes, counts, log_noise, int(codes.sum() % (1 << 31)) + r).packed().astype(np.float64)
+                    found = train_nce(start.value, codes, counts, log_noise, int(codes.sum() % (1 << 31)) + r, PASSES).packed().astype(np.float64)
                     weight = np.full(len(found), float(counts.sum()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((np.arange(len(found)), found * weight, weight), _PARAMETERS, strict=True)], schema=_PARAMETERS)
 
@@ -305,14 +337,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Word counts, class totals and class trigrams cover all training rows. A task holds the counts of the ``HELD_WORDS`` most frequent words only; each
     text's other words are joined with the full counts and summed back by row. Training is by rounds of averaged parallel
-    passes over packed trigram counts; what goes to the driver in a round is one set of parameters.
+    passes over trigram counts summed over all tasks and dealt to parts by context; what goes to the driver in a round is one set of parameters.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = stage(_word_counts(rows), "word-counts")
     v = _vocabulary(counts)
-    p = _train(stage(_trigrams(rows, spark.sparkContext.broadcast(v)), "class-trigrams"), v)
+    p = _train(stage(_merged(_trigrams(rows, spark.sparkContext.broadcast(v))), "class-trigrams"), v)
     scored = stage(_scored(rows, spark.sparkContext.broadcast((v, p))).withColumn("row", F.monotonically_increasing_id()), "scored")
 
     denominator = F.lit(v.tokens + 0.5 * (v.words + 1))

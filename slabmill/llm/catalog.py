@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabmill.llm import decontam, kneser_ney, language_model, line_dedup, ngram_join, packing, quality_rules, sharding, token_files, url_filter
+from slabmill.llm import decontam, kneser_ney, language_model, line_dedup, ngram_join, packing, quality_rules, sharding, token_counts, token_files, url_filter
 from slabmill.llm.common import table
 from slabmill.llm.tokens import public_tokenizer
 from slabmill.session import scratch_path
@@ -183,3 +183,9 @@ from worded w left join sizes s on s.doc_id = w.doc_id left join least l on l.do
 @query("op8_ngram_jaccard_join", _NEAR_SQL)
 def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_copy_groups(table(spark, folder, "documents"))
+
+
+@query("op11_token_counts")
+def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    cache = scratch_path(spark, "token-counts")
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizer("byte_bpe_50k.json"), cache, limit=1024)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabmill.llm import decontam, kneser_ney, language_model, line_dedup, ngram_join, packing, quality_rules, sharding, token_counts, token_files, url_filter
+from slabmill.llm import collocations, decontam, kneser_ney, language_model, line_dedup, ngram_join, packing, quality_rules, sharding, spelling, token_counts, token_files, url_filter
 from slabmill.llm.common import table
 from slabmill.llm.tokens import public_tokenizer
 from slabmill.session import scratch_path
@@ -189,3 +189,97 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
 def counted_tokens(spark: SparkSession, folder: str) -> DataFrame:
     cache = scratch_path(spark, "token-counts")
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizer("byte_bpe_50k.json"), cache, limit=1024)
+
+
+_SPELLING_SQL = r"""
+with recursive crc_table as (
+    select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as cells
+    from (select unnest(range(256)) as i)
+), runs as (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as run
+    from documents
+), counted as (
+    select doc_id, run, count(*) as n from runs where length(run) >= 6 group by doc_id, run
+), written as (
+    select doc_id, run, n, flatten(list_transform(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda c: unicode(c)),
+           lambda u: case when u < 128 then [u::bigint] else [195::bigint, (u - 64)::bigint] end)) as bytes
+    from counted
+), hashed as (
+    select run, n, xor(list_reduce(list_concat([4294967295::bigint], bytes), lambda c, b: xor(c >> 8, cells[1 + xor(c & 255, b)])), 4294967295) as h
+    from written, crc_table
+), spoilt as (
+    select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed
+), words as (
+    select word, sum(n)::bigint as n from spoilt where length(word) >= 6 group by word having sum(n) >= 5
+), gaps as (
+    select word, n, length(word) as size, unnest(range(length(word))) as i from words
+), cuts as (
+    select word, n, size, i, left(word, i::int) || substr(word, i::int + 2) as cut from gaps
+), pairs as (
+    select a.word, b.word as near from cuts a join cuts b on a.cut = b.cut and a.i = b.i and a.size = b.size and a.word <> b.word
+    union select c.word, w.word from cuts c join words w on c.cut = w.word
+    union select w.word, c.word from cuts c join words w on c.cut = w.word
+), best as (
+    select p.word, count(*) as n_near, min(struct_pack(less := -w.n, word := p.near)) as top from pairs p join words w on w.word = p.near group by p.word
+), judged as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near, case when -top.less >= 5 * w.n then top.word end as form, case when -top.less >= 5 * w.n then -top.less end as form_n
+    from words w left join best b on b.word = w.word
+), led as (
+    select word, word as reached, 0 as steps from judged union all select l.word, j.form, steps + 1 from led l join judged j on j.word = l.reached where j.form is not null
+)
+select j.word, j.form, r.root, j.n, j.n_near, j.form_n from judged j join (select word, arg_max(reached, steps) as root from led group by word) r on r.word = j.word
+"""
+
+
+@query("op12_spelling_variants", _SPELLING_SQL)
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+_PHRASE_SQL = r"""
+with pieces as (
+    select d, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece
+    from (select row_number() over () as d, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents)
+), worded as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces
+), totals as (
+    select lang, sum(len(words))::bigint as n from worded group by lang
+), sizes as (
+    select unnest([1, 2, 3, 4]) as m
+), tokens as (
+    select p, lang, unnest(words) as w, unnest(range(len(words))) as i from (select row_number() over () as p, * from worded)
+), windows as (
+    select lang, w, w || ' ' || lead(w, 1) over q as w2, w || ' ' || lead(w, 1) over q || ' ' || lead(w, 2) over q as w3,
+           w || ' ' || lead(w, 1) over q || ' ' || lead(w, 2) over q || ' ' || lead(w, 3) over q as w4
+    from tokens window q as (partition by p order by i)
+), runs as (
+    select lang, 1 as m, w as phrase from windows union all select lang, 2, w2 from windows union all select lang, 3, w3 from windows union all select lang, 4, w4 from windows
+), spelt as (
+    select lang, m, phrase, count(*) as f from runs where phrase is not null group by all having count(*) >= 30
+), counts as (
+    select lang, m, string_split(phrase, ' ') as run, f from spelt
+), cuts as (
+    select c.lang, c.m, c.run, c.f, k from counts c, (select unnest([1, 2, 3]) as k) where c.m >= 2 and k < c.m
+), scored as (
+    select c.lang, c.m, c.run, c.f as a, k, l.f as l, r.f as r, (2000000::hugeint * c.f) // (l.f::hugeint + r.f) as score
+    from cuts c join counts l on l.lang = c.lang and l.m = k and l.run = list_slice(c.run, 1, k)
+    join counts r on r.lang = c.lang and r.m = c.m - k and r.run = list_slice(c.run, k + 1, c.m)
+), lowest as (
+    select * from scored qualify row_number() over (partition by lang, m, run order by score, k) = 1
+), inner_runs as (
+    select lang, s.m, list_slice(run, i, i + s.m - 1) as run, max(f) as around
+    from (select lang, c.m as whole, run, f, s.m, unnest(range(1, c.m - s.m + 2)) as i from counts c join sizes s on s.m >= 2 and s.m < c.m) s group by all
+), kept as (
+    select w.* from lowest w left join inner_runs i on i.lang = w.lang and i.m = w.m and i.run = w.run where around is null or 100::hugeint * around < 80::hugeint * a
+), ranked as (
+    select lang, array_to_string(run, ' ') as phrase, a, l, r, score::bigint as score,
+           row_number() over (partition by lang order by score desc, a desc, array_to_string(run, ' ')) as rank
+    from kept
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", _PHRASE_SQL)
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))

@@ -20,10 +20,10 @@ _UNUSUAL = re.compile(
 _UNUSUAL_BEGINS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb")
 _NOT_PLAIN = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
 _MARK = "\x00"
-# One word of letters that no normaliser changes but for their case: the model takes it as it is.
-_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# What may stand before a word, a word of letters that no normaliser changes but for their case, and the signs after it, which are a token's border.
+_PARTS = re.compile(rb"([\n\x00]?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 #: Bytes of remembered chunks in each of two generations.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 48 << 20
 _ENTRY_BYTES = 200  # of a dictionary entry with two short strings
 
 
@@ -40,7 +40,7 @@ class ChunkEncoder:
     token at white space that follows a word and never looks back, so joining the chunks' ids gives the ids of the
     whole text. Texts with unusual white space are encoded whole.
     ``whitespace``: for tokenizers that drop white space, a chunk is a word.
-    A chunk's last full stop, comma or the like after an ASCII letter or digit is a token of its own in both kinds.
+    Signs after a chunk's letters or its last digit (a full stop, say) never share a token with what is before them, in both kinds.
     Strings that look like special tokens are ordinary text. Ids come as little-endian unsigned integers.
 
     A new chunk that is one word of Latin letters goes straight to the tokenizer's model, where a trial shows that this
@@ -88,15 +88,17 @@ class ChunkEncoder:
             out += [ids[a:b] for a, b in zip([0, *(cuts + width).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
         return out
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of letters (byte level: after a space) from the model alone, which works on the byte alphabet's characters."""
+    def _words(self, words: list[bytes], spaced: bool = True) -> list[bytes]:
+        """Ids of words of letters from the model alone, which works on the byte alphabet's characters; ``spaced``: after a space, at byte level."""
+        if not words:
+            return []
         text = b"\n".join(words)
         if not text.isascii():
             text = (text.decode().lower().encode() if self._lower else text).decode("latin-1").translate(self._alphabet)
         else:
             text = text.decode()
         shown, code, tokenize = text.split("\n"), self._code, self._model.tokenize
-        if self._kind == BYTE_LEVEL:
+        if spaced and self._kind == BYTE_LEVEL:
             shown = ["Ġ" + x for x in shown]
         return [array(code, [t.id for t in tokenize(x)]).tobytes() for x in shown]
 
@@ -108,17 +110,27 @@ class ChunkEncoder:
 
     def _learn(self, keys: set[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that are not known yet."""
+        ids, known = {}, self._known
+        if self._direct:
+            words = [k for k in keys if k.isalpha()]
+            ids |= zip(words, self._words(words), strict=True)
+            parts = {k: m.groups() for k in keys.difference(words) if (m := _PARTS.fullmatch(k)) and (self._kind == BYTE_LEVEL or not m[1])}
+            spaced = list({core for head, core, _ in parts.values() if not head}.difference(known, ids))
+            ids |= zip(spaced, self._words(spaced), strict=True)
+            bare = list({core for head, core, _ in parts.values() if head})
+            begun = dict(zip(bare, self._words(bare, spaced=False), strict=True))
+            around = {x: self._packed(self._ids(x.decode())) if x != b"\x00" else b"" for x in {x for head, _, tail in parts.values() for x in (head, tail)}}
+            for k, (head, core, tail) in parts.items():
+                ids[k] = around[head] + (begun[core] if head else ids[core] if core in ids else known[core]) + around[tail]
+            keys = keys.difference(ids)
         ends = {k: k[-1:] for k in keys if k[-1:] in b".,;:!?" and k[-2:-1].isalnum()}
-        cores = {k[:-1] if k in ends else k for k in keys}.difference(self._known)
-        words = [k for k in cores if k.isalpha() or (not k.isascii() and _LETTERS.fullmatch(k.decode()))] if self._direct else []
-        ids = dict(zip(words, self._words(words), strict=True)) if words else {}
-        chunks = {k: self._chunk(k) for k in cores.difference(ids)}
+        cores = {k[:-1] if k in ends else k for k in keys}.difference(known, ids)
+        chunks = {k: self._chunk(k) for k in cores}
         whole = [k for k, c in chunks.items() if b"\x00" in c or c[-1:].isspace() or (not c.isascii() and _UNUSUAL.search(c))]
         plain = list(chunks.keys() - set(whole))
         ids |= zip(plain, self._encode_each([chunks[k] for k in plain]), strict=True)
         ids |= {k: self._packed(self._ids(chunks[k].decode())) for k in whole}
         stops = {e: self._packed(self._ids(e.decode())) for e in set(ends.values())}
-        known = self._known
         for k, end in ends.items():
             core = k[:-1]
             ids[k] = (known[core] if core in known else ids[core]) + stops[end]

@@ -484,7 +484,7 @@ select s.tx_id, a.pop_count pop_psa10, b.pop_count pop_psa9 from scoped_sales s
 asof left join pop10 a on a.card_id = s.card_id and s.sold_at >= a.snapshot_date
 asof left join pop9 b on b.card_id = s.card_id and s.sold_at >= b.snapshot_date""")
 def _(m):
-    out = hedonic.with_card_history(hedonic.graded_scope(m.tx_clean), m.pop_snapshots, m.factor_panel)
+    out = hedonic.with_card_history(hedonic.graded_scope(m.tx_clean).select("tx_id", "card_id", "sold_at"), hedonic.populations(m.pop_snapshots))
     return out.select("tx_id", "pop_psa10", "pop_psa9")
 
 
@@ -492,7 +492,7 @@ def _(m):
 select s.tx_id, e.cs_momentum_pct, e.liquidity_tier, e.sales_count_90d from scoped_sales s
 asof left join panel_ts e on e.card_id = s.card_id and s.sold_at >= e.known_at""", cs_momentum_pct=6)
 def _(m):
-    out = hedonic.with_card_history(hedonic.graded_scope(m.tx_clean), m.pop_snapshots, m.factor_panel)
+    out = hedonic.with_card_history(hedonic.graded_scope(m.tx_clean).select("tx_id", "card_id", "sold_at"), hedonic.factor_rows(m.factor_panel))
     return out.select("tx_id", "cs_momentum_pct", "liquidity_tier", "sales_count_90d")
 
 

@@ -88,7 +88,7 @@ def status_changes(reports: DataFrame, stored: DataFrame) -> DataFrame:
         F.min(F.when((F.col("_side") == 0) | (F.col("event_type") != "injury_return"), place)).alias("_opened")
     )
     usable = both.join(opened, "player_id").where(place >= F.col("_opened")).drop("_opened")
-    compared = next_row(usable, ["player_id"], ["event_date", "seq"], {"_before": "event_type"}, segment="day", back=True)
+    compared = next_row(usable, ["player_id"], ["event_date", "seq"], {"_before": "event_type"}, back=True)
     changed = compared.where((F.col("_side") == 1) & (F.col("_before").isNull() | (F.col("_before") != F.col("event_type"))))
     return changed.select(*EVENT_KEY, "event_payload")
 

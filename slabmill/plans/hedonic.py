@@ -42,28 +42,31 @@ def star(tx: DataFrame, card: DataFrame, player: DataFrame) -> DataFrame:
     return tx.join(card, "card_id").join(player.select("player_id", "dob", "draft_year", "draft_pick", "team"), "player_id")
 
 
-def with_card_history(sales: DataFrame, pop: DataFrame, panel: DataFrame) -> DataFrame:
-    """Latest populations and factor row known at each sale: one union, one window per card."""
+PANEL_COLUMNS = ("cs_momentum_pct", "is_hyped", "sales_count_90d", "bid_ask_proxy", "liquidity_tier")
+
+
+def populations(pop: DataFrame) -> list[tuple[DataFrame, str, dict[str, str]]]:
+    """The two graded populations as right-hand sides of an as-of join by card."""
     graded = pop.where(F.col("grader") == "PSA")
-    return asof_join(
-        sales,
-        [
-            (graded.where(F.col("grade") == 10), "snapshot_date", {"pop_psa10": "pop_count"}),
-            (graded.where(F.col("grade") == 9), "snapshot_date", {"pop_psa9": "pop_count"}),
-            (
-                panel.withColumn("_at", F.col("as_of_date").cast("timestamp")),
-                "_at",
-                {c: c for c in ("cs_momentum_pct", "is_hyped", "sales_count_90d", "bid_ask_proxy", "liquidity_tier")},
-            ),
-        ],
-        ["card_id"],
-        "sold_at",
-    )
+    return [
+        (graded.where(F.col("grade") == 10), "snapshot_date", {"pop_psa10": "pop_count"}),
+        (graded.where(F.col("grade") == 9), "snapshot_date", {"pop_psa9": "pop_count"}),
+    ]
+
+
+def factor_rows(panel: DataFrame) -> list[tuple[DataFrame, str, dict[str, str]]]:
+    """The factor panel as a right-hand side of an as-of join by card."""
+    return [(panel.withColumn("_at", F.col("as_of_date").cast("timestamp")), "_at", {c: c for c in PANEL_COLUMNS})]
+
+
+def with_card_history(sales: DataFrame, histories: list[tuple[DataFrame, str, dict[str, str]]]) -> DataFrame:
+    """What was known of the card at each sale, of all ``histories`` in one pass."""
+    return asof_join(sales, histories, ["card_id"], "sold_at", ["tx_id"])
 
 
 def with_player_score(sales: DataFrame, scores: DataFrame) -> DataFrame:
-    """Latest player score known at each sale; few players, so day segments."""
-    return asof_join(sales, [(scores, "fit_at", {"stardom_premium": "premium"})], ["player_id"], "sold_at", segment="day")
+    """Latest player score known at each sale."""
+    return asof_join(sales, [(scores, "fit_at", {"stardom_premium": "premium"})], ["player_id"], "sold_at", ["tx_id"])
 
 
 def modern_rookie_fill(sales: DataFrame) -> Column:
@@ -101,7 +104,7 @@ def hedonic_features(
 ) -> DataFrame:
     """One row per scoped sale; every looked-up value was known at the sale."""
     base = star(graded_scope(tx), card, player)
-    base = with_card_history(base, pop, panel)
+    base = with_card_history(base, populations(pop) + factor_rows(panel))
     base = with_player_score(base, scores)
     both_pops = (F.col("pop_psa10") + F.col("pop_psa9")).cast("double")
     sold = F.col("sold_at")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from slabmill.config import ALL_TIERS, ERA_BOUNDARY, GRADE_TIERS, INDEX_TIERS
 from slabmill.functions import cards, dates
 from slabmill.operators.asof import next_row
+from slabmill.session import stage
 
 PARTS = ["era", "grade_tier"]
 
@@ -60,7 +61,7 @@ def consecutive_pairs(sales: DataFrame, bucket: str = "weekly", parts: Sequence[
     """Neighbouring sales of the same item that fall in different periods."""
     parts = list(parts)
     paired = next_row(
-        sales, [*parts, "cert_number"], ["sold_at", "tx_id", "price_usd"], {"t1": "sold_at", "price1": "price_usd"}, segment="month"
+        sales, [*parts, "cert_number"], ["sold_at", "tx_id", "price_usd"], {"t1": "sold_at", "price1": "price_usd"}
     )
     return (
         paired.where(F.col("t1").isNotNull())
@@ -90,6 +91,7 @@ def build_pairs(sales: DataFrame, bucket: str = "weekly", sigma: float | None =
     pairs = consecutive_pairs(sales, bucket, parts)
     if sigma is None:
         return pairs
+    pairs = stage(pairs, "pairs")  # read for the moments and again for the filter
     # At most (eras x tiers) rows: safe to broadcast at any data size.
     moments = F.broadcast(outlier_moments(pairs, parts))
     keep = (F.col("n") <= 1) | (F.col("sigma") <= 0) | (F.abs(F.col("log_return") - F.col("mu")) <= sigma * F.col("sigma"))

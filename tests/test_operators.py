@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from slabmill.operators.asof import asof_join, first_by, latest_by, next_row
+from slabmill.operators.asof import asof_join, even_pieces, first_by, latest_by, next_row, running_count
 from slabmill.operators.concordance import concordance
 from slabmill.operators.ordering import exact_quantiles, spread_row_number, tie_percent_rank
 
@@ -69,16 +69,70 @@ def test_asof_join_equals_merge_asof(spark):
         np.testing.assert_array_equal(got[col].astype(float), want[col].astype(float))
 
 
+@pytest.fixture(scope="module")
+def hot(spark):
+    """90 % of the rows on one key and one hour, half of them at one instant."""
+    rng = np.random.default_rng(12)
+    n = 12_000
+    is_hot = rng.random(n) < 0.9
+    key = np.where(is_hot, 7, rng.integers(0, 40, n))
+    second = np.where(is_hot, np.where(rng.random(n) < 0.5, 1800, rng.integers(0, 3600, n)), rng.integers(0, 86_400 * 30, n))
+    return pd.DataFrame({"k": key, "ts": pd.Timestamp("2022-03-01") + pd.to_timedelta(second, unit="s"), "i": rng.permutation(n)})
+
+
+@pytest.fixture
+def many_pieces(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    yield 24
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_pieces_are_even_whatever_the_keys(spark, hot, many_pieces):
+    dealt = even_pieces(spark.createDataFrame(hot), ["k"], ["ts", "i"]).withColumn("task", F.spark_partition_id())
+    sizes = dealt.groupBy("task").agg(F.count("*").alias("n"), F.count_distinct("_piece").alias("pieces")).toPandas()
+    assert sizes["n"].sum() == len(hot) and (sizes["pieces"] == 1).all()
+    assert sizes["n"].max() <= 2 * len(hot) / many_pieces
+
+
+def test_asof_join_of_a_hot_hour(spark, hot, many_pieces):
+    rng = np.random.default_rng(13)
+    right = pd.DataFrame({"k": [*rng.integers(0, 40, 300), *[7] * 300], "x": range(600)})
+    right["at"] = pd.Timestamp("2022-03-01") + pd.to_timedelta([*rng.integers(0, 86_400 * 30, 300), *rng.integers(0, 3600, 300)], unit="s")
+    early = pd.DataFrame({"k": [7, 7, 3], "y": [1, 2, 3], "at": pd.to_datetime(["2022-02-01", "2022-02-01", "2022-03-04"])})
+    left = spark.createDataFrame(hot).unionAll(spark.createDataFrame([(None, None, -1), (7, None, -2)], "k long, ts timestamp, i long"))
+    sides = [(spark.createDataFrame(right), "at", {"x": "x"}), (spark.createDataFrame(early), "at", {"y": "y"})]
+    for row_id in (["i"], None):
+        found = asof_join(left, sides, ["k"], "ts", row_id).toPandas().set_index("i").sort_index()
+        assert len(found) == len(hot) + 2 and found.loc[[-1, -2], ["x", "y"]].isna().all().all()
+        for side, col in ((right.groupby(["k", "at"], as_index=False)["x"].max(), "x"), (early.groupby(["k", "at"], as_index=False)["y"].max(), "y")):
+            want = pd.merge_asof(hot.sort_values("ts"), side.sort_values("at"), left_on="ts", right_on="at", by="k").set_index("i")[col].sort_index()
+            np.testing.assert_array_equal(found.loc[0:, col].astype(float), want.astype(float))
+
+
 @pytest.mark.parametrize("back", [False, True])
-def test_next_row_across_segments(spark, back):
-    rng = np.random.default_rng(8)
-    pdf = pd.DataFrame({"k": rng.integers(0, 3, 300), "ts": pd.Timestamp("2021-01-01") + pd.to_timedelta(rng.integers(0, 700, 300), unit="D"), "i": np.arange(300)})
-    got = next_row(spark.createDataFrame(pdf), ["k"], ["ts", "i"], {"other": "i"}, back=back).toPandas().set_index("i")["other"].sort_index()
-    want = pdf.sort_values(["ts", "i"]).groupby("k")["i"].shift(1 if back else -1)
-    want.index = pdf.sort_values(["ts", "i"])["i"]
+def test_next_row_across_pieces(spark, hot, many_pieces, back):
+    got = next_row(spark.createDataFrame(hot), ["k"], ["ts", "i"], {"other": "i"}, back=back).toPandas().set_index("i")["other"].sort_index()
+    placed = hot.sort_values(["ts", "i"])
+    want = placed.groupby("k")["i"].shift(1 if back else -1)
+    want.index = placed["i"]
     np.testing.assert_array_equal(got.astype(float), want.sort_index().astype(float))
 
 
+def test_running_count_across_pieces(spark, hot, many_pieces):
+    got = running_count(spark.createDataFrame(hot), ["k"], ["ts", "i"], "n").toPandas().set_index("i")["n"].sort_index()
+    placed = hot.sort_values(["ts", "i"])
+    want = placed.groupby("k").cumcount() + 1
+    want.index = placed["i"]
+    assert (got == want.sort_index()).all()
+
+
+def test_null_keys_are_one_key_for_neighbours(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, 1, "c")], "k int, t int, v string")
+    assert {(r.v, r.w) for r in next_row(df, ["k"], ["t"], {"w": "v"}).collect()} == {("a", "b"), ("b", None), ("c", None)}
+    assert next_row(df.limit(0), ["k"], ["t"], {"w": "v"}).count() == 0
+
+
 def test_latest_and_first(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, 1, "c")], "k int, t int, v string")
     assert {r.k: r.v for r in latest_by(df, ["k"], ["t"]).collect()} == {1: "b", 2: "c"}

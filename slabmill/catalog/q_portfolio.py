@@ -438,17 +438,19 @@ def _(m):
 select p.card_id, sleeve, w * 1000000 / price units from positions p join locf l on l.card_id = p.card_id
 where l.date = (select max(date) from locf) and price > 0""", units=6)
 def _(m):
-    locf = pf.locf_panel(_panel(m))
-    last = _panel(m).agg(F.max("date").alias("d")).scalar()
-    return pf.target_units(_positions(m), locf.where(F.col("date") == last), 1_000_000.0)
+    panel = _panel(m)
+    last = panel.agg(F.max("date").alias("d")).scalar()
+    return pf.target_units(_positions(m), pf.prices_on(panel, last), 1_000_000.0)
 
 
 @query("d31_mark_to_market", """
 select c.date, 1000.0 + coalesce(sum(l.card_id % 5 * price), 0) nav from (select distinct date from locf) c left join locf l on l.date = c.date group by 1""", nav=3)
 def _(m):
-    locf = pf.locf_panel(_panel(m))
-    units = locf.select("date", "card_id", (F.col("card_id") % 5).alias("units"))
-    return pf.mark_to_market(units, locf, locf.select("date").distinct().withColumn("cash", F.lit(1000.0)))
+    panel = _panel(m)
+    units = panel.groupBy("card_id").agg(F.min("date").alias("date")).withColumn("units", F.col("card_id") % 5)
+    span = panel.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    cash = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"), F.lit(1000.0).alias("cash"))
+    return pf.mark_to_market(units, pf.price_intervals(panel), cash)
 
 
 @query("set06_universe_union", "select card_id from anchors union select card_id from factor_universe union select card_id from flagship")

@@ -328,18 +328,27 @@ def price_panel(tx: DataFrame, names: DataFrame, start: Column, end: Column) ->
     ).agg(F.avg("price_usd").alias("mean_price"), F.count(F.lit(1)).alias("volume"))
 
 
-def locf_panel(panel: DataFrame) -> DataFrame:
-    """Last known price for every calendar day from a card's first sale to the panel's end.
+def price_intervals(panel: DataFrame) -> DataFrame:
+    """For how long each daily price holds: ``card_id``, ``date`` (first day), ``until`` (first day after it, NULL for the last known price), ``price``.
 
-    The spine has one row per card and day, so no window sees more than the calendar.
+    A panel has one row per card and day, so a window over a card sees no more than the calendar. NULL prices end no interval.
     """
+    known = panel.where(F.col("mean_price").isNotNull())
+    until = F.lead("date").over(Window.partitionBy("card_id").orderBy("date"))
+    return known.select("card_id", "date", until.alias("until"), F.col("mean_price").alias("price"))
+
+
+def locf_panel(panel: DataFrame) -> DataFrame:
+    """Last known price for every calendar day from a card's first price to the panel's end: each interval's days, without a join."""
     last_day = panel.agg(F.max("date").alias("d")).scalar()
-    spine = panel.groupBy("card_id").agg(F.min("date").alias("lo"))
-    spine = spine.select("card_id", F.explode(F.sequence("lo", last_day, F.expr("interval 1 day"))).alias("date"))
-    carry = Window.partitionBy("card_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return spine.join(panel, ["card_id", "date"], "left").select(
-        "date", "card_id", F.last("mean_price", ignorenulls=True).over(carry).alias("price")
-    )
+    final = F.coalesce(F.date_sub("until", 1), last_day)
+    return price_intervals(panel).select(F.explode(F.sequence("date", final, F.expr("interval 1 day"))).alias("date"), "card_id", "price")
+
+
+def prices_on(panel: DataFrame, day: Column) -> DataFrame:
+    """Each card's last known price on one day, combined map-side."""
+    known = panel.where((F.col("date") <= day) & F.col("mean_price").isNotNull())
+    return known.groupBy("card_id").agg(F.max_by("mean_price", "date").alias("price"))
 
 
 def trailing_volume(panel: DataFrame, days: int = 90) -> DataFrame:
@@ -360,10 +369,34 @@ def target_units(positions: DataFrame, prices: DataFrame, aum: float) -> DataFra
     )
 
 
-def mark_to_market(units: DataFrame, locf: DataFrame, cash: DataFrame) -> DataFrame:
-    """Daily cash plus units at the last known price."""
-    worth = units.join(locf, ["date", "card_id"]).groupBy("date").agg(F.sum(F.col("units") * F.col("price")).alias("worth"))
-    return cash.join(worth, "date", "left").select("date", (F.col("cash") + F.coalesce("worth", F.lit(0.0))).alias("nav"))
+def value_changes(units: DataFrame, prices: DataFrame) -> DataFrame:
+    """By how much the worth of all holdings changes, for each day on which it does.
+
+    ``units``: ``card_id``, ``date``, ``units`` held from that day on (at most one row per card and day); ``prices``: ``card_id``, ``date``, ``price``
+    likewise. A card's worth changes only where one of its rows begins, and counts from the day on which both are known.
+    """
+    sides = units.where("units is not null").select("card_id", "date", "units", F.lit(None).cast("double").alias("price")).unionByName(
+        prices.where("price is not null").select("card_id", "date", F.lit(None).cast(units.schema["units"].dataType).alias("units"), F.col("price").cast("double").alias("price"))
+    )
+    days = sides.groupBy("card_id", "date").agg(F.max("units").alias("units"), F.max("price").alias("price"))
+    order = Window.partitionBy("card_id").orderBy("date")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held, paid = F.last("units", ignorenulls=True).over(so_far), F.last("price", ignorenulls=True).over(so_far)
+    worth = days.select("card_id", "date", F.coalesce(held * paid, F.lit(0.0)).cast("decimal(38,12)").alias("worth"))
+    change = F.col("worth") - F.coalesce(F.lag("worth").over(order), F.lit(0).cast("decimal(38,12)"))
+    return worth.select("date", change.alias("change")).where("change <> 0").groupBy("date").agg(F.sum("change").cast("decimal(38,12)").alias("change"))
+
+
+def mark_to_market(units: DataFrame, prices: DataFrame, cash: DataFrame) -> DataFrame:
+    """Net asset value on every day of ``cash`` (``date``, ``cash``): cash plus the running sum of all changes of units times price.
+
+    No row per card and day is made: the only running sum over days has one row a day. Sums are exact to 12 decimals, whatever their order.
+    """
+    days = cash.select("date", "cash", F.lit(None).cast("decimal(38,12)").alias("change"))
+    moves = value_changes(units, prices).select("date", F.lit(None).cast("double").alias("cash"), "change")
+    by_day = days.unionByName(moves).groupBy("date").agg(F.max("cash").alias("cash"), F.sum("change").alias("change"))
+    worth = F.sum(F.coalesce("change", F.lit(0).cast("decimal(38,12)"))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return by_day.select("date", "cash", worth.cast("double").alias("worth")).where("cash is not null").select("date", (F.col("cash") + F.col("worth")).alias("nav"))
 
 
 def nav_curve(nav: DataFrame) -> DataFrame:

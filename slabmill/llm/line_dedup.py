@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import ascii_lower, small_batches
+from slabmill.llm.common import ascii_lower
+from slabmill.operators.once import compute_once
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -16,19 +16,6 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-def _without(texts: pd.Series, positions: pd.Series) -> pd.DataFrame:
-    kept, dropped = [], []
-    for text, gone in zip(texts, positions, strict=True):
-        if text is None or gone is None:
-            kept.append(None)
-            dropped.append(0)
-        else:
-            lost = set(gone.tolist())
-            kept.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in lost))
-            dropped.append(len(lost))
-    return pd.DataFrame({"text": kept, "dropped": dropped})
-
-
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the shared lines gone from ``text``, plus ``n_lines`` (before) and ``n_dropped``.
 
@@ -38,9 +25,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: st
 
     Lines are exploded with their position and met by two 64-bit hashes of their key. Documents are counted in two steps
     (distinct per hash and document, then per hash), so a line of a third of all documents is summed before it is shuffled;
-    the join back to the lines of hot hashes is one that Spark splits. Only positions return to a document, never line texts.
+    the join back to the lines of hot hashes is one that Spark splits. Only positions return to a document, never line texts, and a text goes
+    through that join once. An empty table gives no rows; the lines of a very long text are looked up by position, so its cost is linear.
     """
-    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     whole = F.coalesce(F.col(text), F.lit(""))
     same = F.xxhash64(whole)
@@ -58,12 +45,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, key: st
         .groupBy("doc", "same")
         .agg(F.collect_set("position").alias("gone"))
     )
-    rows = docs.select(F.struct(*own).alias("row"), F.col(key).cast("long").alias("doc"), same.alias("same"), whole.alias("text"))
+    rest = [c for c in own if c != text]
+    row = F.struct(*rest) if rest else F.lit(None).cast("boolean")
+    rows = docs.select(row.alias("row"), F.col(key).cast("long").alias("doc"), same.alias("same"), whole.alias("text"))
     met = rows.alias("r").join(gone.alias("g"), F.col("r.doc").eqNullSafe(F.col("g.doc")) & (F.col("r.same") == F.col("g.same")), "left")
-    without = F.pandas_udf(_without, "text string, dropped long")
-    cut = met.select("row", "text", "gone", without(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")).alias("cut"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("cut.text"))
+    met = met.select("row", "text", "gone")
+    cut = compute_once(met, "cut", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)).alias("lines"))
+    lines = F.col("cut.lines")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     n_lines = (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return cut.select(
-        *(kept.alias(text) if c == text else F.col("row")[c].alias(c) for c in own), n_lines.alias("n_lines"), F.coalesce("cut.dropped", F.lit(0)).cast("long").alias("n_dropped")
-    )
+    n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    return cut.select(*(kept.alias(text) if c == text else F.col("row")[c].alias(c) for c in own), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slabmill.llm import decontam, kneser_ney, line_dedup, ngram_join, packing
@@ -12,19 +12,24 @@ from slabmill.session import stage
 
 
 def whole_rows(docs: DataFrame) -> DataFrame:
-    """What the operators read, and each row as it came: columns of any name pass through."""
-    return docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]), F.struct("*").alias("whole"))
+    """What the operators read, and the row's other columns as they came: columns of any name pass through, and a text is there once."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]), F.struct(*others).alias("whole"))
+
+
+def as_before(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that ``whole_rows`` was given, with those that a stage changed."""
+    return rows.select(*(changed.get(c, F.col("text") if c == "text" else F.col("whole")[c]).alias(c) for c in columns))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the limits of trusted text of their language."""
-    return kneser_ney.classify(whole_rows(docs), table(spark, sf_dir, "labels")).where("kept").select("whole.*")
+    return as_before(kneser_ney.classify(whole_rows(docs), table(spark, sf_dir, "labels")).where("kept"), docs.columns)
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that another one keeps; ``n_chars``, where there is one, is that of the text left."""
-    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    return line_dedup.dedup_lines(whole_rows(docs)).select(*(changed.get(c, F.col("whole")[c]).alias(c) for c in docs.columns))
+    return as_before(line_dedup.dedup_lines(whole_rows(docs)), docs.columns, n_chars=F.char_length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat no benchmark item."""
-    return decontam.with_benchmark_hits(whole_rows(docs), table(spark, sf_dir, "benchmark")).where("hits is null").select("whole.*")
+    return as_before(decontam.with_benchmark_hits(whole_rows(docs), table(spark, sf_dir, "benchmark")).where("hits is null"), docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

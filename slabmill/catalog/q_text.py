@@ -488,6 +488,31 @@ def _(m):
     return rows.select("page_id", "table_no", "row_no", F.size("cells").cast("bigint").alias("n_cells"), F.get("cells", F.lit(0)).alias("first_cell"))
 
 
+@query("u03_page_rows", """
+with c as (select c_custkey, c_nationkey, c_name, c_mktsegment, n_name, c_nationkey * 1000000 + c_custkey // 20 page_id from customer join nation on n_nationkey = c_nationkey),
+k as (select *, row_number() over (partition by page_id order by c_custkey) i from c)
+select page_id, 0 table_no, 'list' table_id, cast(i - 1 as int) row_no, 'c' row_class, c_name || ' č é' c0, c_mktsegment || ' & ' || n_name || ' ' || c_custkey || ' < 5' c1,
+ cast(2 as bigint) n_cells, c_name || ' č é' stat from k
+union all
+select page_id, cast(i as int), 'in' || c_custkey, 0, null, n_name, c_custkey || ' < 5', cast(2 as bigint), null from k""")
+def _(m):
+    customer, nation = m.raw("customer"), m.raw("nation")
+    known = customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    key = F.col("c_nationkey").cast("bigint") * 1_000_000 + F.floor(F.col("c_custkey") / 20)
+    # Nested tables, numeric and named entities, unquoted attributes, a misleading data-id and no end tags of rows and cells.
+    row = F.format_string(
+        '<tr class=c data-id="7"><td data-stat=name title="a id=b">%s &#269; &#xE9;<td data-id=x><i>%s</i>&nbsp;&amp; <table data-id="no" id=in%d><tr><td>%s<th>%d &lt; 5</table>',
+        "c_name", "c_mktsegment", F.col("c_custkey").cast("bigint"), "n_name", F.col("c_custkey").cast("bigint"),
+    )
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "\n")
+    pages = known.groupBy(key.alias("page_id")).agg(F.concat(F.lit("<html><p>x<!-- <table id='list'><tbody>"), body, F.lit("</table> --><td>stray</td></html>")).alias("html"))
+    cell = lambda i: F.get("cells", F.lit(i))
+    return html.explode_html_rows(pages).select(
+        "page_id", "table_no", "table_id", "row_no", "row_class", cell(0).alias("c0"), cell(1).alias("c1"),
+        F.size("cells").cast("bigint").alias("n_cells"), F.try_element_at("stats", F.lit("name")).alias("stat"),
+    )
+
+
 # --- names and event feeds ---------------------------------------------------------------------
 view("feed_names", """
 select event_id, user_id, ts, event_type, case event_id % 4 when 0 then upper(name) when 1 then replace(name, 'u', 'ü') when 2 then substr(name, 1, 10) || substr(name, 12)

@@ -292,6 +292,31 @@ def test_report_pages(spark):
     ]
 
 
+NESTED = """<table ID=out class='x'><tr class="a b"><td data-stat=p>one &#269;&eacute;&nbsp;&amp;lt;<td>two<table id="in"><tr><td>deep<td/>er</tr></table>rest
+<tr><th data-stat="p">three<script>var a = "</td><td>no";</script><th data-stat=p>again<br>line</table><td>stray<tr><td>stray
+<!-- <table><td>no row<tr><td>second <b>bold</td></tr> --><tr><td>open at the end"""
+
+
+def test_page_rows(spark):
+    found = list(html.page_rows(NESTED))
+    assert found == [
+        (0, "out", 0, "a b", ["one čé &lt;", "two deep er rest"], {"p": "one čé &lt;"}), (1, "in", 0, None, ["deep", "er"], {}),
+        (0, "out", 1, None, ["three", "again line"], {"p": "three"}),
+        (2, None, 0, None, ["no row"], {}), (2, None, 1, None, ["second bold"], {}), (2, None, 2, None, ["open at the end"], {}),
+    ]
+    assert list(html.page_rows(None)) == list(html.page_rows("")) == list(html.page_rows("<p>no table")) == []
+    lists = "<nav><ul><li><a>x</a><ul><li><a>y</ul><li><a>z"
+    assert [(r[0], r[2], r[4]) for r in html.page_rows(lists, "nav", "li", "a")] == [(0, 0, ["x"]), (0, 1, ["y"]), (0, 2, ["z"])]
+    long = "<table>" + "".join(f"<tr><td>{i}&amp;{'y' * 90}" for i in range(3000))
+    assert [r[4][0] for r in html.page_rows(long)] == [f"{i}&{'y' * 90}" for i in range(3000)]
+    pages = spark.createDataFrame([(1, NESTED), (2, None), (3, long)], "page_id long, html string")
+    rows = html.explode_html_rows(pages).collect()
+    assert sorted((r.page_id, r.table_no, r.row_no) for r in rows if r.page_id < 3) == sorted((1, x[0], x[2]) for x in found) and len(rows) == 3006
+    spark.udtf.register("html_rows", html.HtmlRows)
+    pages.createOrReplaceTempView("kept_pages")
+    assert spark.sql("select count(*) n from kept_pages, lateral html_rows(html, 'table', 'tr', 'td|th')").first().n == 3006
+
+
 def test_names_resolve_in_stages(spark):
     player = spark.createDataFrame([(1, "Luka Doncic"), (2, "Giannis Antetokounmpo"), (3, "Shai Gilgeous-Alexander")], "player_id int, name string")
     asked = {"LUKA DONCIC ": 1, "Luka Dončić": 1, "Gianis Antetokounmpo": 2, "Antetokounmpo Giannis": 2, "Shai Gilgeous Alexander": 3, "Somebody Else": None}

@@ -9,7 +9,7 @@ from slabmill.catalog.q_text import _catalogue, _done, _injury_feed, listing_tit
 from slabmill.catalog.registry import query
 from slabmill.functions import event_text
 from slabmill.plans import events, pricing
-from slabmill.session import scratch_path
+from slabmill.session import scratch_path, stage
 from slabmill.sources import cohorts
 from slabmill.sources.warehouse import Warehouse, quantize
 from slabmill.streaming import jobs
@@ -97,9 +97,9 @@ def _stream_table(m, name):
     return jobs.read_files(m.spark, m.folder, schema, f"{name}.parquet")
 
 
-def _finish(m, stream, label):
+def _finish(m, stream, label, keyed=False):
     out, state = scratch_path(m.spark, label), scratch_path(m.spark, f"{label}-state")
-    jobs.write_files(stream, out, state).awaitTermination()
+    jobs.write_files(stream, out, state, keyed).awaitTermination()
     return m.spark.read.schema(stream.schema).parquet(out)
 
 
@@ -140,18 +140,44 @@ def _(m):
     return _finish(m, jobs.stream_dedupe(raw, "60 days"), "dedupe").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st03_stream_status_changes", """
+_CHANGES_SQL = """
 with c as (select r.*, bool_or(event_type <> 'injury_return') over (partition by player_id order by event_date, seq) seen from injury_rows r),
 u as (select *, lag(event_type) over (partition by player_id order by event_date, seq) lt from c where seen)
-select player_id, event_type, event_date, seq from u where coalesce(lt, 'x') <> event_type""")
-def _(m):
+select player_id, event_type, event_date, seq from u where coalesce(lt, 'x') <> event_type"""
+
+
+def _injury_reports(m):
     typed = _injury_feed(m).withColumn("event_type", event_text.classify_injury(F.col("status"))).where("event_type is not null")
     named = events.resolve_names(typed, m.player_master).where("player_id is not null")
-    landing = scratch_path(m.spark, "reports")
-    reports = named.select("player_id", "event_type", F.col("status_date").alias("event_date"), "seq")
-    reports.write.parquet(landing)
-    stream = jobs.read_files(m.spark, landing, reports.schema)
-    return _finish(m, jobs.stream_status_changes(stream), "changes")
+    return stage(named.select("player_id", "event_type", F.col("status_date").cast("timestamp").alias("event_date"), F.col("seq").cast("long").alias("seq")), "reports")
+
+
+def _changes_of(m, reports, batches, files_per_trigger, label, late="2 days"):
+    """Run the stream over reports dealt into files by ``batches``; a closing row of nobody's lets the watermark pass the last report."""
+    landing = scratch_path(m.spark, "landing")
+    for batch in batches:
+        reports.where(batch).coalesce(1).write.mode("append").parquet(landing)
+    closing = reports.agg((F.max("event_date") + F.expr("interval 30 days")).alias("event_date"))
+    closing.select(F.lit(-1).alias("player_id"), F.lit("closing").alias("event_type"), "event_date", F.lit(0).cast("long").alias("seq")).coalesce(1).write.mode("append").parquet(landing)
+    stream = jobs.read_files(m.spark, landing, reports.schema, files_per_trigger=files_per_trigger)
+    return _finish(m, jobs.stream_status_changes(stream, late), label, keyed=True)
+
+
+@query("st03_stream_status_changes", _CHANGES_SQL)
+def _(m):
+    return _changes_of(m, _injury_reports(m), [F.lit(True)], 1000, "changes")
+
+
+@query("u06_ordered_changes", _CHANGES_SQL)
+def _(m):
+    # The days of a block arrive in two files, each a micro-batch of its own, so that half of the reports come out of order.
+    reports = _injury_reports(m)
+    day = F.datediff("event_date", F.lit("1970-01-01"))
+    span = reports.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    step = max(1, -(-(span["hi"] + 1 - span["lo"]) // 6))
+    blocks = range(span["lo"], span["hi"] + 1, step)
+    late_first = [(day >= b) & (day < b + step) & (F.col("seq") % 2 == odd) for b in blocks for odd in (1, 0)]
+    return _changes_of(m, reports, late_first, 1, "ordered-changes", f"{step + 1} days")
 
 
 @query("st01_stream_parse", """

@@ -187,6 +187,11 @@ def encoder(path: str, kind: str, dtype: str = "<u4") -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+def forget_encoders() -> None:
+    """Free what earlier tasks of this Python worker remember, for operators that need the room for a model of their own."""
+    _ENCODERS.clear()
+
+
 def public_tokenizer(name: str) -> str:
     import public_tokenizers
 

@@ -159,10 +159,3 @@ def stream_daily_volume(sales: DataFrame, late: str = "7 days") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("volume"))
         .select("card_id", F.to_date("w.start").alias("date"), "volume")
     )
-
-
-def late_slices(sales: DataFrame, streamed: DataFrame) -> DataFrame:
-    """(card, day) volumes that the stream missed or undercounted: what batch repair must replace."""
-    truth = sales.groupBy("card_id", F.to_date("sold_at").alias("date")).agg(F.count(F.lit(1)).alias("true_volume"))
-    both = truth.join(streamed, ["card_id", "date"], "left")
-    return both.where(F.coalesce("volume", F.lit(0)) != F.col("true_volume")).select("card_id", "date", F.col("true_volume").alias("volume"))

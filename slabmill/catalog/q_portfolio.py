@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slabmill.catalog.market import weeks_in_k
 from slabmill.catalog.q_factors import AS_OF
-from slabmill.catalog.q_pricing import _ev, _player_scores, mispricing_by_card
+from slabmill.catalog.q_pricing import LOW_GATE, _ev, _player_scores, mispricing_by_card
 from slabmill.catalog.registry import query, view
 from slabmill.config import Allocation
 from slabmill.functions import cards, dates
@@ -230,6 +230,18 @@ def _(m):
     return pf.grading_overlay(pool, Allocation(overlay_weight=0.01)).select("card_id", F.col("target_usd_value").alias("cost"))
 
 
+@query("w19_budget_cut_of_small_samples", "select card_id, cost from (" + """
+with recursive c as (select card_id, raw_price, row_number() over (order by ev_per_dollar desc, card_id) i from grading_ev
+ where sample_size >= 2 and raw_price is not null and ev_per_dollar >= 0.15),
+walk as (select cast(0 as bigint) i, cast(10000 as double) budget, cast(null as bigint) card_id, cast(null as double) cost union all
+ select c.i, case when raw_price <= budget then budget - raw_price else budget end, case when raw_price <= budget then c.card_id end,
+  case when raw_price <= budget then raw_price end from walk join c on c.i = walk.i + 1)
+select card_id, cost from walk where card_id is not null) o""", cost=6)
+def _(m):
+    pool = grading.ev_gate(m.stored("grading_ev", lambda: _ev(m)), LOW_GATE)
+    return pf.grading_overlay(pool, Allocation(overlay_weight=0.01)).select("card_id", F.col("target_usd_value").alias("cost"))
+
+
 view("card_catalyst", "select card_id, coalesce(catalyst_score, 0.0) catalyst_score from card_master c left join catalyst_scores s on s.player_id = c.player_id")
 view("tagged", """
 select *, case when i <= n // 5 then 'top' when i > n - n // 5 then 'bottom' else 'middle' end tag from (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slabmill.catalog.market import weeks_in_k
 from slabmill.catalog.q_factors import AS_OF
 from slabmill.catalog.registry import query, view
-from slabmill.config import GRADING_FEES
+from slabmill.config import GRADING_FEES, GradingGate
 from slabmill.functions import cards, dates, money
 from slabmill.operators.asof import asof_slice_closed
 from slabmill.plans import grading, hedonic, pricing
@@ -415,6 +415,21 @@ def _(m):
     return grading.grading_candidates(grading.graded_prices(m.tx_clean, m.as_of), m.pop_snapshots, m.tx_clean, m.as_of)
 
 
+# The test market counts few copies a card, so the usual gate lets nothing through; a lower one does.
+LOW_GATE = GradingGate(min_sample=2)
+_LOW_SQL = "sample_size >= 2 and raw_price is not null and ev_per_dollar >= 0.15"
+
+
+@query("p12_ev_gate_of_small_samples", f"select card_id, ev_per_dollar from grading_ev where {_LOW_SQL}", ev_per_dollar=4)
+def _(m):
+    return grading.ev_gate(_ev(m), LOW_GATE).select("card_id", "ev_per_dollar")
+
+
+@query("d14_grading_candidates_of_small_samples", f"select * from grading_ev where {_LOW_SQL}", **EV)
+def _(m):
+    return grading.grading_candidates(grading.graded_prices(m.tx_clean, m.as_of), m.pop_snapshots, m.tx_clean, m.as_of, gate=LOW_GATE)
+
+
 @query("t06_ev_ranking", "select card_id, ev_per_dollar from grading_ev order by ev_per_dollar desc nulls last, card_id limit 25", ev_per_dollar=4)
 def _(m):
     return _ev(m).orderBy(F.col("ev_per_dollar").desc_nulls_last(), "card_id").limit(25).select("card_id", "ev_per_dollar")

@@ -307,12 +307,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
     return met.where(F.arrow_udf(_linked, "boolean")("set_a", "set_b")).select("a", "b")
 
 
+def _open(live: DataFrame, groups: DataFrame) -> DataFrame:
+    """``key``, ``class`` and ``group`` of the keys whose classes are not in one group yet, and ``low``, the smallest group there."""
+    grouped = live.join(groups, live["class"] == groups["node"], "left").select("key", "class", F.coalesce("component", "class").alias("group"))
+    open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("key", "low")
+    return grouped.join(open_keys, "key")
+
+
+def _second_stars(rows: DataFrame) -> DataFrame:
+    """Pairs of one more leader a key with the classes outside its group: of those outside the key's largest group, the class with most open keys."""
+    largest = rows.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
+    weight = rows.groupBy("class").agg(F.count("*").alias("weight"))
+    outside = rows.join(largest, "key").where("group != largest").join(weight, "class")
+    leaders = outside.groupBy("key").agg(F.max(F.struct("weight", "class", "group")).alias("l")).select("key", F.col("l.class").alias("leader"), F.col("l.group").alias("led"))
+    pairs = rows.join(leaders, "key").where("group != led")
+    return pairs.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+
+
 def _across(live: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes with a key in common that are not in one group yet and whose sketches allow a link."""
     spark = live.sparkSession
-    grouped = live.join(groups, live["class"] == groups["node"], "left").select("key", "class", F.coalesce("component", "class").alias("group"))
-    open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("key", "low")
-    members = grouped.join(open_keys, "key").join(classes.select("class", "n", "sketch"), "class")
+    members = _open(live, groups).join(classes.select("class", "n", "sketch"), "class")
     # Keys of one group of near copies hold the same pairs again and again: in a few tasks, which pass on a pair once.
     place = [F.col("low"), F.pmod(F.xxhash64("key"), F.lit(_SPREAD))]
     dealt = members.repartition(shuffle_partitions(spark), *place).sortWithinPartitions("key").select("key", "class", "group", "n", "sketch")
@@ -350,7 +365,7 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     Equal sets are one class from the start. Parity sketches per size band are cut into blocks; of linked sets, few blocks differ, so
     each class is filed under some of its blocks, rare ones first, and linked classes meet in one (see :func:`block_keys`). In each such key
-    every class is first compared with one leader; links make groups. Then the classes of a key that are still in different groups are
+    every class is first compared with one leader; links make groups, and in keys with several groups a leader from outside the largest is compared with the rest. Then the classes of a key that are still in different groups are
     compared pair by pair inside the task by their sketches, without a row for a pair unless its sketches allow a link; sizes, sketches
     and at last the whole sets decide. So every link between different groups is found, and pairs inside a group are not listed.
     """
@@ -383,7 +398,10 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     live = stage(_live_keys(rows, _frequent(measured)), "live-keys")
     stars = stage(_verified(_stars(live), classes, rows), "links")
     groups = components(stars)
-    more = stage(_verified(_across(live, groups, classes), classes, rows), "links")
+    left = stage(_open(live, groups), "open-keys")
+    stars = stars.union(stage(_verified(_second_stars(left), classes, rows), "links"))
+    groups = components(stars)
+    more = stage(_verified(_across(left.select("key", "class"), groups, classes), classes, rows), "links")
     groups = components(stars.union(more))
 
     known = classes.select("class", "first_doc").join(groups, classes["class"] == groups["node"], "left").select("class", "first_doc", F.coalesce("component", "class").alias("group"))

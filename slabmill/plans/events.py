@@ -139,8 +139,24 @@ def classified_playoffs(games: DataFrame) -> DataFrame:
     ).drop("finals_series")
 
 
+def on_roster(rows: DataFrame, roster: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``rows`` for each roster row (player_id, key) of the same key.
+
+    The result is far larger than either side and has few keys, so the longer side is dealt out before they meet; the roster goes along
+    whole to each piece where its stored size allows (Spark decides).
+    """
+    key = next(c for c in roster.columns if c != "player_id")
+    pieces = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.where(F.col(key).isNotNull()).repartition(pieces, *[F.col(c) for c in rows.columns])
+    return dealt.join(stage(roster.where(F.col(key).isNotNull()), "roster"), key).select(*columns)
+
+
 def playoff_events(games: DataFrame, player: DataFrame, stored: DataFrame) -> DataFrame:
-    """One event per playoff win and current roster member of the winner."""
+    """One event per playoff win and current roster member of the winner.
+
+    Wins are made one per (team, type, date) before they fan out. Players meet them by the set of teams they are listed for, so the
+    events of a player need no second reduction, and only stored keys of a win's type and date are compared with them.
+    """
     flagged = classified_playoffs(games)
     clinch = F.col("is_series_clincher")
     kind = F.when(clinch & F.col("is_finals"), "playoff_finals_win").when(clinch, "playoff_series_win").otherwise("playoff_win")
@@ -148,7 +164,15 @@ def playoff_events(games: DataFrame, player: DataFrame, stored: DataFrame) -> Da
         F.col("winner_team").alias("team"), kind.alias("event_type"), F.col("game_date").cast("timestamp").alias("event_date"),
         F.to_json(F.struct("game_id", "season")).alias("event_payload"),
     )
-    return new_events(wins.join(player.select("player_id", "team"), "team"), stored)
+    rest = ["event_type", "event_date"]
+    of_team = first_by(wins, ["team", *rest], ["event_payload"])
+    listed = player.where(F.col("team").isNotNull()).groupBy("player_id").agg(F.sort_array(F.collect_set("team")).alias("teams"))
+    listed = stage(listed, "listed")
+    squads = listed.select("teams").distinct().select("teams", F.explode("teams").alias("team"))
+    of_squad = stage(first_by(squads.join(of_team, "team").drop("team"), ["teams", *rest], ["event_payload"]), "squad-wins")
+    events = on_roster(of_squad, listed, *EVENT_KEY, "event_payload")
+    taken = stored.select(*EVENT_KEY).distinct().join(of_squad.select(*rest).distinct(), rest, "left_semi")
+    return events.join(stage(taken.select(*EVENT_KEY), "taken"), EVENT_KEY, "left_anti")
 
 
 # --- awards and transactions ---------------------------------------------------------------

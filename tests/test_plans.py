@@ -453,3 +453,37 @@ def test_labelled_titles(spark):
         if mine != right:
             wrong.append((title, mine, right))
     assert len(wrong) <= 0.05 * len(rows), wrong
+
+
+def test_playoff_wins_fan_out_once_reduced(spark):
+    games = spark.createDataFrame(
+        [(f"{n:03d}", date(2024, 4, 1 + n // 4), "A", "B", "A" if n % 4 else "B", True, False) for n in range(12)]
+        + [("x", date(2024, 4, 1), "A", "C", None, True, False)],
+        "game_id string, game_date date, home_team string, away_team string, winner_team string, is_playoff boolean, is_all_star boolean",
+    )
+    roster = spark.createDataFrame(
+        [(1, "A"), (1, "A"), (2, "A"), (2, "B"), (3, "B"), (4, None), (None, "B"), (5, "D")], "player_id int, team string")
+    stored = spark.createDataFrame([(1, "playoff_win", datetime(2024, 4, 1), ""), (None, "playoff_win", datetime(2024, 4, 1), "")],
+                                   "player_id int, event_type string, event_date timestamp, event_payload string")
+    flagged = events.classified_playoffs(games).collect()
+    kind = lambda g: ("playoff_finals_win" if g.is_finals else "playoff_series_win") if g.is_series_clincher else "playoff_win"
+    best: dict = {}
+    for g in flagged:
+        for r in roster.collect():
+            if r.team == g.winner_team:
+                key = (r.player_id, kind(g), g.game_date)
+                best[key] = min(best.get(key, "~"), f'{{"game_id":"{g.game_id}","season":"{g.season}"}}')
+    del best[(1, "playoff_win", date(2024, 4, 1))]
+    out = events.playoff_events(games, roster, stored)
+    got = {(r.player_id, r.event_type, r.event_date.date()): r.event_payload for r in out.collect()}
+    assert got == best and out.count() == len(best)
+    # Rows are one a player and event when they fan out: nothing reduces them afterwards.
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_roster_fan_out_is_dealt_over_all_pieces(spark):
+    rows = spark.range(3000).selectExpr("id game_id", "case id % 3 when 0 then 'A' when 1 then 'B' end winner_team")
+    roster = spark.createDataFrame([(p, "AB"[p % 2] if p % 5 else None) for p in range(40)] + [(7, "B")], "player_id int, winner_team string")
+    out = events.on_roster(rows, roster, "game_id", "player_id")
+    assert out.count() == rows.join(roster, "winner_team").count()
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -135,13 +135,13 @@ def _(m):
 def _repaired(m, label, start, days, late_days, summarise):
     """The sales of all time in three micro-batches: early ones, later ones, and every tenth sale only after those."""
     sales = m.tx_clean.select("tx_id", "card_id", "sold_at", "price_usd")
-    landing, root = scratch_path(m.spark, f"{label}-landing"), scratch_path(m.spark, label)
+    landing, root, state = (scratch_path(m.spark, f"{label}{x}") for x in ("-landing", "", "-state"))
     tenth, early = F.pmod(F.xxhash64("tx_id"), F.lit(10)) == 0, F.col("sold_at") < dates.ts("1996-01-01")
-    for n, part in enumerate((~tenth & early, ~tenth & ~early, tenth)):
-        sales.where(part).coalesce(1).write.parquet(f"{landing}/{n}")
     store = repair.WindowStore(m.spark, root, sales.schema, ["card_id"], "sold_at", start, days, late_days, summarise)
-    stream = m.spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(landing)
-    store.run(stream, scratch_path(m.spark, f"{label}-state")).awaitTermination()
+    for n, part in enumerate((~tenth & early, ~tenth & ~early, tenth)):  # a part is one micro-batch, of as many files as it has tasks
+        sales.where(part).write.parquet(f"{landing}/{n}")
+        stream = m.spark.readStream.schema(sales.schema).option("recursiveFileLookup", True).parquet(landing)
+        store.run(stream, state).awaitTermination()
     return store
 
 

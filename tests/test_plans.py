@@ -487,3 +487,34 @@ def test_roster_fan_out_is_dealt_over_all_pieces(spark):
     out = events.on_roster(rows, roster, "game_id", "player_id")
     assert out.count() == rows.join(roster, "winner_team").count()
     assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_micro_batches_land_from_all_tasks(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from slabmill import session
+    from slabmill.catalog import q_io
+
+    paths = {}
+    monkeypatch.setattr(q_io, "scratch_path", lambda s, label: paths.setdefault(label, session.scratch_path(s, label)))
+    rows = [(f"t{i}", i % 3, datetime(1995, 12, 20) + timedelta(days=i % 30), 1.0 + i) for i in range(200)]
+    sales = spark.createDataFrame(rows, "tx_id string, card_id long, sold_at timestamp, price_usd double").repartition(4)
+    store = q_io._daily_store(SimpleNamespace(spark=spark, tx_clean=sales))
+    assert len(list(Path(paths["daily-store-landing"]).glob("1/*.parquet"))) == 4
+    got = {(r.card_id, r.window_start): r.volume for r in store.view().collect()}
+    want: dict = {}
+    for _, c, at, _ in rows:
+        want[(c, at.date())] = want.get((c, at.date()), 0) + 1
+    assert got == want and store.rows().select("batch").distinct().count() == 3
+
+
+def test_tables_of_some_megabytes_do_not_pass_the_driver(spark, tmp_path):
+    from slabmill.session import tune
+
+    spark.range(600_000).selectExpr("id card_id", "hash(id) v").write.parquet(str(tmp_path / "t"))
+    tune(spark)
+    t = spark.read.parquet(str(tmp_path / "t"))
+    joined = t.join(t.withColumnRenamed("v", "w"), "card_id")
+    joined.write.format("noop").mode("overwrite").save()
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"

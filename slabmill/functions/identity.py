@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,26 +123,38 @@ def card_number(title: Column) -> Column:
     return F.when(~value.isin("NO", ""), value)
 
 
-def parallel_phrases(low: Column) -> Column:
-    hits = [F.when(low.contains(p.lower()) & low.rlike(rf"(?<![a-z0-9]){p.lower()}(?![a-z0-9])"), p) for p in PARALLELS]
-    return F.filter(F.array(*hits), lambda p: p.isNotNull())
+def parallel_hits(low: Column) -> Column:
+    """Bit ``k`` is set where phrase ``k`` of ``PARALLELS`` stands in the title as whole words."""
+    hits = [F.when(low.contains(p.lower()) & low.rlike(rf"(?<![a-z0-9]){p.lower()}(?![a-z0-9])"), 1 << k).otherwise(0) for k, p in enumerate(PARALLELS)]
+    return reduce(lambda a, b: a.bitwiseOR(b), hits)
+
+
+def _any_of(hits: Column, phrases: Iterable[str]) -> Column:
+    return hits.bitwiseAND(sum(1 << PARALLELS.index(p) for p in phrases)) != 0
+
+
+def parallel_words(hits: Column, first: int, end: int) -> Column:
+    """Phrases ``first`` to ``end`` that are set and stand in no earlier one that is set, joined; empty without any.
 
+    Which phrase absorbs which is known beforehand, so bits are tested and no array is folded: lambdas are not compiled.
+    """
+    words = []
+    for k, p in list(enumerate(PARALLELS))[first:end]:
+        within = [e for e in PARALLELS[:k] if p.lower() in e.lower()]
+        words.append(F.when(_any_of(hits, [p]) & ~_any_of(hits, within) if within else _any_of(hits, [p]), p))
+    return F.concat_ws(" / ", *words)
 
-def parallel(low: Column, set_name: Column, phrases: Column) -> Column:
+
+def parallel(low: Column, set_name: Column, hits: Column, words: list[Column]) -> Column:
     """All parallel phrases of a title, longer ones absorbing the words they contain."""
     bare = (
         low.contains("prizm")
         & ~F.coalesce(set_name.isin("Prizm", "Prizm Black"), F.lit(False))
-        & ~F.exists(phrases, lambda p: p.contains("Prizm"))
-    )
-    found = F.when(bare, F.array_append(phrases, F.lit("Prizm"))).otherwise(phrases)
-    kept = F.aggregate(
-        found,
-        F.array().cast("array<string>"),
-        lambda acc, p: F.when(F.exists(acc, lambda e: F.contains(F.lower(e), F.lower(p))), acc).otherwise(F.array_append(acc, p)),
+        & ~_any_of(hits, [p for p in PARALLELS if "Prizm" in p])
     )
+    joined = F.concat_ws(" / ", *[F.when(w != "", w) for w in words], F.when(bare, "Prizm"))
     blue_silver = low.contains("prizm blue and silver") | low.contains("blue and silver prizm")
-    return F.when(blue_silver, "Blue and Silver Prizm").otherwise(F.coalesce(F.nullif(F.array_join(kept, " / "), F.lit("")), F.lit("Base")))
+    return F.when(blue_silver, "Blue and Silver Prizm").otherwise(F.coalesce(F.nullif(joined, F.lit("")), F.lit("Base")))
 
 
 def canonical_key(c: dict[str, Column]) -> Column:
@@ -168,51 +183,53 @@ IDENTITY_FIELDS = (
 
 def with_identity(df: DataFrame, title: Column, query: Column, name: str = "i") -> DataFrame:
     """Add a struct with the canonical key, every identity field, confidence and evidence."""
+    # Many short steps: a step is one method, and the JVM leaves methods of over 8,000 bytes of code uncompiled.
     df = compute_once(df, "_s", normalize_title(title).alias("text"), query.alias("query"))
+    df = compute_once(df, "_low", F.lower("_s.text").alias("v"))
     text, low = F.col("_s.text"), F.col("_low.v")
+    df = compute_once(df, "_h", parallel_hits(low).alias("hits"))
     df = compute_once(
-        compute_once(df, "_low", F.lower("_s.text").alias("v")),
+        df,
         "_f",
-        low.alias("low"),
         player_name(low, F.col("_s.query")).alias("player_name"),
         first_match(low, SETS, F.lit(None)).alias("set_name"),
         first_match(low, MANUFACTURERS, F.lit(None)).alias("maker"),
-        titles.year(text).alias("card_year"),
         first_match(low, [(s.lower(), s) for s in SUBSETS], F.lit(None)).alias("subset"),
-        card_number(text).alias("card_number"),
-        parallel_phrases(low).alias("phrases"),
-        titles.print_run(text).alias("print_run"),
-        titles.grader(text).alias("slab_grader"),
-        titles.grade(text).alias("slab_grade"),
     )
     f = lambda field: F.col(f"_f.{field}")
-    low = f("low")
     by_set = F.when(f("set_name") == "Bowman Chrome", "Bowman").otherwise(titles.implied_manufacturer(f("set_name")))
+    hits, half = F.col("_h.hits"), len(PARALLELS) // 2
+    df = compute_once(df, "_w", parallel_words(hits, 0, half).alias("first"))
+    df = compute_once(df, "_v", parallel_words(hits, half, len(PARALLELS)).alias("rest"))
     df = compute_once(
         df,
         "_i",
         f("player_name").alias("player_name"),
         F.coalesce(f("maker"), by_set).alias("manufacturer"),
-        *[f(c).alias(c) for c in ("card_year", "set_name", "subset", "card_number")],
-        parallel(low, f("set_name"), f("phrases")).alias("parallel"),
-        f("print_run").alias("print_run"),
+        titles.year(text).alias("card_year"),
+        f("set_name").alias("set_name"),
+        f("subset").alias("subset"),
+        card_number(text).alias("card_number"),
+        parallel(low, f("set_name"), hits, [F.col("_w.first"), F.col("_v.rest")]).alias("parallel"),
+        titles.print_run(text).alias("print_run"),
         low.rlike(r"\b(rookie|rc)\b").alias("is_rookie"),
         low.rlike(r"\b(auto|autograph)\b").alias("has_auto"),
         (low.contains("patch") | low.contains("rpa")).alias("has_patch"),
-        f("slab_grader").alias("slab_grader"),
-        f("slab_grade").alias("slab_grade"),
+        titles.grader(text).alias("slab_grader"),
+        titles.grade(text).alias("slab_grade"),
     )
     c = {field: F.col(f"_i.{field}") for field in IDENTITY_FIELDS}
+    df = compute_once(df, "_k", canonical_key(c).alias("key"))  # filters on the key don't make it again
     score = sum((F.when(c[f].isNotNull(), F.lit(p)).otherwise(0.0) for f, p in FIELD_POINTS.items()), F.lit(0.0))
     confidence = F.round(F.least(score, F.lit(1.0)), 3)
     evidence = F.to_json(
         F.struct(F.col("_s.text").alias("title"), F.col("_s.query").alias("search_query"), F.lit("identity_regex_v1").alias("source"))
     )
     out = F.struct(
-        canonical_key(c).alias("canonical_key"),
+        F.col("_k.key").alias("canonical_key"),
         *[c[field].alias(field) for field in IDENTITY_FIELDS],
         confidence.alias("confidence"),
         (confidence < REVIEW_BELOW).alias("needs_review"),
         evidence.alias("evidence_json"),
     )
-    return df.withColumn(name, out).drop("_s", "_low", "_f", "_i")
+    return df.withColumn(name, out).drop("_s", "_low", "_h", "_f", "_w", "_v", "_i", "_k")

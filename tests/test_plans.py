@@ -518,3 +518,44 @@ def test_tables_of_some_megabytes_do_not_pass_the_driver(spark, tmp_path):
     joined.write.format("noop").mode("overwrite").save()
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_identity_of_titles_is_compiled_code(spark):
+    import random
+    import re
+
+    from slabmill.functions import identity
+
+    pick, words = random.Random(5), [*identity.PARALLELS, "prizm", "Prizm Black", "golden", "Blacks", "national treasures", "refractor", "#12", "PSA 10", "x"]
+    made = [" ".join(pick.sample(words, pick.randint(0, 6))) for _ in range(300)] + [p.upper() for p in identity.PARALLELS] + ["", None, "prizm blue and silver", "|-|"]
+    titles = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "raw_id int, raw_title string")
+    out = identity.with_identity(titles, F.col("raw_title"), F.lit(None).cast("string")).select("raw_id", "i.*").where("canonical_key != ''")
+
+    def folded(title, set_name):
+        low = " ".join((title or "").split()).lower()
+        found = [p for p in identity.PARALLELS if re.search(rf"(?<![a-z0-9]){p.lower()}(?![a-z0-9])", low)]
+        if "prizm" in low and set_name not in ("Prizm", "Prizm Black") and not any("Prizm" in p for p in found):
+            found.append("Prizm")
+        kept = []
+        for p in found:
+            if not any(p.lower() in e.lower() for e in kept):
+                kept.append(p)
+        return "Blue and Silver Prizm" if "prizm blue and silver" in low or "blue and silver prizm" in low else " / ".join(kept) or "Base"
+
+    rows = out.collect()
+    assert len(rows) == len(made) and [r.parallel for r in rows if r.parallel != folded(made[r.raw_id], r.set_name)] == []
+    # No lambda (they and the steps that hold them are interpreted), and no method too long for the JVM's compiler.
+    plan = out._jdf.queryExecution().executedPlan()
+    assert "lambdafunction" not in plan.toString()
+    package = spark._jvm.org.apache.spark.sql.execution.debug
+    code = getattr(getattr(package, "package$"), "MODULE$").codegenString(plan)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = titles.coalesce(1).select("raw_id", "raw_title")
+        again = identity.with_identity(again, F.col("raw_title"), F.lit(None).cast("string")).select("raw_id", "i.*").where("canonical_key != ''")
+        code = getattr(getattr(package, "package$"), "MODULE$").codegenString(again._jdf.queryExecution().executedPlan())
+        sizes += [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000

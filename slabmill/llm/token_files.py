@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slabmill.llm.common import shuffle_partitions, slices, small_batches
-from slabmill.llm.tokens import BYTE_LEVEL, encoder
+from slabmill.llm.tokens import BYTE_LEVEL, CUT_BYTES, encoder
 
 MANIFEST = "manifest.json"
 WIDTHS = {2: "<u2", 4: "<u4"}
@@ -42,7 +42,7 @@ def _write_part(folder: str, part: int, attempt: int, batches: Iterator[pa.Recor
     lengths, keys, flags = [], [], []
     draft = f"{root}/.part-{part:05d}-{attempt}"
     with store.open_output_stream(f"{draft}.bin") as out:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, size=CUT_BYTES):
             column = batch.column(0)
             keys.append(column.fill_null(0).to_numpy(zero_copy_only=False))
             flags.append(column.is_valid().to_numpy(zero_copy_only=False).astype("<i8"))

@@ -105,3 +105,18 @@ def test_token_files_of_no_rows(spark, tmp_path):
     place = f"file://{tmp_path}/none"
     token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), place, public_tokenizer("byte_bpe_50k.json"), 2, 50_257)
     assert token_files.read_token_files(spark, place).count() == 0
+
+
+def test_encoding_is_not_interrupted_by_the_cycle_collector():
+    import gc
+
+    begun = []
+    encode = ChunkEncoder(public_tokenizer("byte_bpe_50k.json"), BYTE_LEVEL).encode
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)).encode() for i in range(40)]
+    note = lambda phase, info: begun.append(phase)
+    gc.callbacks.append(note)
+    try:
+        encode(texts)
+    finally:
+        gc.callbacks.remove(note)
+    assert begun == [] and gc.isenabled()

@@ -559,3 +559,12 @@ def test_identity_of_titles_is_compiled_code(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sizes and max(sizes) < 8000
+
+
+def test_many_small_pages_are_read_in_batches(spark):
+    pages = spark.createDataFrame([(i, f"<table><tr><td data-stat=v>{i}</table>" if i % 7 else None) for i in range(12000)], "page_id int, html string")
+    rows = html.explode_html_rows(pages)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "UDTF" not in plan
+    assert rows.schema == pages.select("page_id").limit(0).lateralJoin(html.HtmlRows(F.lit(""), F.lit("table"), F.lit("tr"), F.lit("td|th"))).schema
+    assert sorted((r.page_id, r.cells, r.stats) for r in rows.collect()) == [(i, [str(i)], {"v": str(i)}) for i in range(12000) if i % 7]

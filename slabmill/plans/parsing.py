@@ -166,16 +166,17 @@ def sales_to_raw(sales: DataFrame) -> DataFrame:
     keep = ["platform", "listing_type", "verified", "raw_text", "warnings", "search_query", "external_sale_id"]
     raw = sales.select(
         ext.alias("external_id"),
-        F.lit(sale_text.SOURCE).alias("source"),
+        F.to_json(F.struct(*keep)).alias("raw_json"),
         "raw_title",
         F.col("price_usd").alias("raw_price"),
-        F.lit("USD").alias("raw_currency"),
         "sold_at",
-        F.to_json(F.struct(*keep)).alias("raw_json"),
     )
+    # The JSON comes first, so it decides and is carried once; what is the same in all rows stays outside.
     rest = [c for c in raw.columns if c != "external_id"]
-    one = raw.groupBy("external_id").agg(F.min_by(F.struct(*rest), "raw_json").alias("_r"), F.count(F.lit(1)).alias("copies"))
-    return one.select("external_id", "_r.*", "copies")
+    one = raw.groupBy("external_id").agg(F.min(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("copies"))
+    return one.select(
+        "external_id", F.lit(sale_text.SOURCE).alias("source"), "_r.raw_title", "_r.raw_price", F.lit("USD").alias("raw_currency"), "_r.sold_at", "_r.raw_json", "copies"
+    )
 
 
 def import_sales(sales: DataFrame, stored: DataFrame, card: DataFrame, allow_clean: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:

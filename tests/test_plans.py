@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 from pathlib import Path
 
 import numpy as np
@@ -15,7 +17,7 @@ from slabmill.config import Allocation
 from slabmill.functions import dates, money, sale_text, titles
 from slabmill.functions import scouting as sc
 from slabmill.operators.concordance import concordance_share
-from slabmill.plans import catalyst, events, factors, grading, hedonic, index, portfolio, pricing, scouting
+from slabmill.plans import catalyst, events, factors, grading, hedonic, index, parsing, portfolio, pricing, scouting
 from slabmill.sources import html, listings
 from slabmill.sources.warehouse import Warehouse
 
@@ -568,3 +570,14 @@ def test_many_small_pages_are_read_in_batches(spark):
     assert "MapInArrow" in plan and "UDTF" not in plan
     assert rows.schema == pages.select("page_id").limit(0).lateralJoin(html.HtmlRows(F.lit(""), F.lit("table"), F.lit("tr"), F.lit("td|th"))).schema
     assert sorted((r.page_id, r.cells, r.stats) for r in rows.collect()) == [(i, [str(i)], {"v": str(i)}) for i in range(12000) if i % 7]
+
+
+def test_known_ids_of_an_import_carry_no_rows(spark):
+    when = datetime(2024, 1, 2)
+    sale = lambda title, id=None: ("EBAY", title, Decimal("3.00"), when, "Auction", True, title + " Price $3.00", [], "basket", id)
+    kinds = "platform string, raw_title string, price_usd decimal(14,2), sold_at timestamp, listing_type string, verified boolean, raw_text string, warnings array<string>, search_query string, external_sale_id string"
+    raw = parsing.sales_to_raw(spark.createDataFrame([sale("b", "x"), sale("a", "x"), sale("c"), sale("c")], kinds))
+    got = sorted((r.copies, r.raw_title, json.loads(r.raw_json)["raw_text"], r.source, r.raw_currency, r.sold_at) for r in raw.collect())
+    assert [g[:3] for g in got] == [(2, "a", "a Price $3.00"), (2, "c", "c Price $3.00")] and {g[4:] for g in got} == {("USD", when)}
+    plan = raw.select("source", "external_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "min(" not in plan

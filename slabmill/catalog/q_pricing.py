@@ -298,7 +298,8 @@ select holding_id || ':' || rule_triggered signal_id, case when holding_id % 4 =
  holding_id % 4 = 1 changed from exit_signals""")
 def _(m):
     hid = F.col("holding_id")
-    stored = _signals(m).select(
+    signals = m.stored("exit_signals", lambda: _signals(m))  # read twice below
+    stored = signals.select(
         F.concat(hid.cast("string"), F.lit(":"), F.col("rule_triggered")).alias("signal_id"), hid.alias("_h"),
         F.when(hid % 4 == 0, dates.ts("1999-12-31")).alias("resolved_at"),
     )

@@ -13,6 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from slabmill.catalog import q_pricing, registry
 from slabmill.config import Allocation
 from slabmill.functions import dates, money, sale_text, titles
 from slabmill.functions import scouting as sc
@@ -581,3 +582,17 @@ def test_known_ids_of_an_import_carry_no_rows(spark):
     assert [g[:3] for g in got] == [(2, "a", "a Price $3.00"), (2, "c", "c Price $3.00")] and {g[4:] for g in got} == {("USD", when)}
     plan = raw.select("source", "external_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan and "min(" not in plan
+
+
+def test_signals_to_resolve_are_made_once(spark, monkeypatch, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    monkeypatch.setattr(q_pricing, "_signals", lambda m: spark.range(8).select(counted("id").alias("holding_id"), F.lit("time_stop").alias("rule_triggered")))
+    got = registry.queries()["d19_resolve_signals"](spark, str(tmp_path)).collect()
+    assert made.value == 8
+    assert {r.signal_id for r in got if r.changed} == {"1:time_stop", "5:time_stop"} and len(got) == 8

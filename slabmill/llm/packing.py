@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import slices, small_batches
-from slabmill.llm.tokens import CUT_BYTES, REMEMBERED_BYTES, WHITESPACE, encoder
+from slabmill.llm.common import SLICE_BYTES, slices, small_batches
+from slabmill.llm.tokens import REMEMBERED_BYTES, WHITESPACE, encoder
 from slabmill.session import stage
 
 CAPACITY = 4096
@@ -83,7 +83,7 @@ def _placed(rows: list[tuple], capacity: int, base: int) -> Iterator[pa.RecordBa
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", kind: str = WHITESPACE,
-    remember: int = REMEMBERED_BYTES,
+    remember: int = REMEMBERED_BYTES, cut: int = SLICE_BYTES,
 ) -> DataFrame:
     """Encode documents, cut those over ``capacity`` and place all pieces in sequences; one row a piece with its ids.
 
@@ -91,7 +91,8 @@ def pack_documents(
     are not ``WELL_FILLED`` is packed again over all tasks, in groups of about ``PIECES_PER_TASK`` pieces, so the loss is
     a few sequences in all and not a few a split. Sequence ids are unique numbers without further meaning.
     NULL texts are empty (one end id); NULL or repeated keys are packed like others; other columns are not read.
-    ``remember`` bounds the encoder's memory of chunks, for executors that earlier steps have filled; it changes no result.
+    ``remember`` bounds the encoder's memory of chunks and ``cut`` the text bytes it takes at once, for executors that earlier steps have filled;
+    they change no result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -99,7 +100,7 @@ def pack_documents(
 
     def first(batches):
         encode, pieces = encoder(tokenizer_path, kind, remember=remember).encode, []
-        for batch, texts in slices(batches, size=CUT_BYTES):
+        for batch, texts in slices(batches, size=cut):
             pieces += _pieces(batch.column(0).to_pylist(), encode(texts), end, capacity)
         yield from _placed(pieces, capacity, TaskContext.get().partitionId() * TASK_SPAN)
 

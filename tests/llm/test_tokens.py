@@ -120,3 +120,11 @@ def test_encoding_is_not_interrupted_by_the_cycle_collector():
     finally:
         gc.callbacks.remove(note)
     assert begun == [] and gc.isenabled()
+
+
+def test_packing_does_not_hang_on_the_encoders_memory(spark):
+    texts = [(i, " ".join(f"w{i % 50}x{k}" for k in range(i % 97 * 20))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2, "doc_id")
+    path = public_tokenizer("word_bpe_49k.json")
+    rows = lambda **bounds: sorted((r.doc_id, r.piece, r.start, r.ids, r.sequence_id, r.offset) for r in packing.pack_documents(docs, path, 1, **bounds).collect())
+    assert rows(remember=1 << 16, cut=1 << 14) == rows()

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import mixed, shingle_hashes, small_batches, word_hashes, words_of
+from slabmill.llm.common import give_back, mixed, shingle_hashes, small_batches, word_hashes, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -158,7 +158,9 @@ def _searcher(shared: Broadcast[BenchmarkIndex]):
             if size > _AT_ONCE:
                 out += shared.value.search(held)
                 held, size = [], 0
-        return pa.array(out + shared.value.search(held), pa.list_(_HIT))
+        out += shared.value.search(held)
+        give_back()
+        return pa.array(out, pa.list_(_HIT))
 
     return search
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slabmill.llm.common import sparing
 from slabmill.session import cut_lineage
 
 #: Edges that one task contracts at once.
@@ -25,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select("a", "b")
     tasks = -(-pairs.count() // EDGES_PER_TASK) or 1
-    now = cut_lineage(pairs.repartition(tasks).mapInArrow(_contracted, "a long, b long"))
+    now = cut_lineage(pairs.repartition(tasks).mapInArrow(sparing(_contracted), "a long, b long"))
     while tasks > 1:
         after = cut_lineage(_small_star(_large_star(now)))
         if now.exceptAll(after).isEmpty() and after.exceptAll(now).isEmpty():

@@ -11,9 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import mixed, shingle_hashes, shuffle_partitions, slices, small_batches, word_hashes, words_of
+from slabmill.llm.common import mixed, shingle_hashes, shuffle_partitions, slices, small_batches, sparing, word_hashes, words_of
 from slabmill.llm.graph import components
 from slabmill.llm.line_dedup import WHITE
+from slabmill.llm.tokens import CUT_BYTES
 from slabmill.session import stage
 
 SHINGLE = 5
@@ -125,7 +126,7 @@ def _documents(rows: DataFrame) -> DataFrame:
             columns = [*[[None]] * 5, [keys.tobytes()], [counts.astype("<i8").tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIRST, strict=True)], schema=_FIRST)
 
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, size=CUT_BYTES):
             out = []
             for key, same, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(texts), strict=True):
                 if not len(s):
@@ -145,7 +146,7 @@ def _documents(rows: DataFrame) -> DataFrame:
         if held:
             yield from shared()
 
-    return rows.mapInArrow(measure, _FIRST_SQL)
+    return rows.mapInArrow(sparing(measure), _FIRST_SQL)
 
 
 def _frequent(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +157,7 @@ def _frequent(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(counts, "<i8"))], schema=_LIVE)
 
-    keys = measured.where("keys is not null").select("keys", "counts").mapInArrow(unpack, "key long, class long")
+    keys = measured.where("keys is not null").select("keys", "counts").mapInArrow(sparing(unpack), "key long, class long")
     top = keys.groupBy("key").agg(F.sum("class").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).toArrow()
     key, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(key)
@@ -178,6 +179,8 @@ def _live_keys(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
 
         def packed() -> Iterator[pa.RecordBatch]:
             key, own = np.concatenate(keys), np.concatenate(classes)
+            keys.clear()
+            classes.clear()
             order = np.argsort(key)
             key, own = key[order], own[order]
             part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -186,7 +189,7 @@ def _live_keys(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
             columns = [some, *([x[ends[p] : ends[p + 1]].tobytes() for p in some] for x in (key, own))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KEYS, strict=True)], schema=_KEYS)
 
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, size=CUT_BYTES):
             for s in shingle_sets(texts):
                 if len(s) and (own := class_of(s)) not in met:
                     met.add(own)
@@ -219,8 +222,8 @@ def _live_keys(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
             part = pairs[many][at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], schema=_LIVE)
 
-    packs = rows.select("doc_id", "text").mapInArrow(pack, "part int, keys binary, classes binary")
-    return packs.repartitionById(parts, F.col("part")).mapInArrow(live, "key long, class long")
+    packs = rows.select("doc_id", "text").mapInArrow(sparing(pack), "part int, keys binary, classes binary")
+    return packs.repartitionById(parts, F.col("part")).mapInArrow(sparing(live), "key long, class long")
 
 
 def _stars(live: DataFrame) -> DataFrame:
@@ -294,14 +297,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFram
     texts = needed.join(classes, "class").select("class", "first_doc")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in slices(batches):
+        for _, found in slices(batches, size=CUT_BYTES):
             made = shingle_sets(found)
             columns = [[class_of(s) for s in made], [s.tobytes() for s in made]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SET, strict=True)], schema=_SET)
 
     firsts = texts.select("first_doc").distinct()
     wanted = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_doc")), "left_semi")
-    made = wanted.select("doc_id", "text").mapInArrow(sets, "class long, shingles binary").dropDuplicates(["class"])
+    made = wanted.select("doc_id", "text").mapInArrow(sparing(sets), "class long, shingles binary").dropDuplicates(["class"])
     side = lambda s: made.select(F.col("class").alias(s), F.col("shingles").alias(f"set_{s}"))
     met = likely.join(side("a"), "a").join(side("b"), "b")
     return met.where(F.arrow_udf(_linked, "boolean")("set_a", "set_b")).select("a", "b")
@@ -352,7 +355,7 @@ def _across(live: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], schema=_PAIR)
                 found = set()
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(sparing(compare), "a long, b long").distinct()
 
 
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import SLICE_BYTES, slices, small_batches
+from slabmill.llm.common import SLICE_BYTES, slices, small_batches, sparing
 from slabmill.llm.tokens import REMEMBERED_BYTES, WHITESPACE, encoder
 from slabmill.session import stage
 
@@ -104,7 +104,7 @@ def pack_documents(
             pieces += _pieces(batch.column(0).to_pylist(), encode(texts), end, capacity)
         yield from _placed(pieces, capacity, TaskContext.get().partitionId() * TASK_SPAN)
 
-    packed = stage(rows.mapInArrow(first, PLACED + ", filled long"), "packed")
+    packed = stage(rows.mapInArrow(sparing(first), PLACED + ", filled long"), "packed")
     loose = F.col("filled") < int(WELL_FILLED * capacity)
     groups = packed.where(loose).agg(F.ceil(F.count("*") / PIECES_PER_TASK)).first()[0] or 1
     again = packed.where(loose).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(groups)).cast("int"))
@@ -117,5 +117,5 @@ def pack_documents(
         for group, held in sorted(pieces.items()):
             yield from _placed(held, capacity, -(group + 1) * TASK_SPAN)
 
-    repacked = again.select("doc_id", "piece", "start", "length", "ids", "group").repartition(groups, "group").mapInArrow(second, PLACED + ", filled long")
+    repacked = again.select("doc_id", "piece", "start", "length", "ids", "group").repartition(groups, "group").mapInArrow(sparing(second), PLACED + ", filled long")
     return packed.where(~loose).unionByName(repacked).drop("filled")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from slabmill.llm import graph, ngram_join
+from slabmill.llm import common, graph, ngram_join
 
 
 def texts(seed: int, families: int, copies: int) -> list[tuple[int | None, str | None, str]]:
@@ -123,3 +126,33 @@ def test_components_of_chains_and_stars(spark, monkeypatch, edges_per_task):
     right = dict.fromkeys(range(61), 0) | dict.fromkeys([*range(100, 400), 1000], 100) | {5000 + 7 * i: 5000 for i in range(5)}
     assert got == right
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_task_gives_its_memory_back_after_its_last_row(monkeypatch):
+    """Idle workers kept what earlier tasks had freed, which took an executor over its memory in the pipeline."""
+    batches = [pa.RecordBatch.from_pydict({"a": [i]}) for i in range(3)]
+    told = []
+    monkeypatch.setattr(common, "give_back", lambda: told.append("back"))
+
+    def work(given):
+        for batch in given:
+            told.append(batch.column(0)[0].as_py())
+            yield batch
+
+    assert list(common.sparing(work)(iter(batches))) == batches
+    assert told == [0, 1, 2, "back"]
+
+
+def test_give_back_returns_small_freed_strings_to_the_system():
+    def resident() -> int:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    held = [np.zeros(4000, np.uint64) for _ in range(2000)]  # 64 MB in pieces below malloc's mapping threshold
+    for x in held:
+        x += np.uint64(1)
+    last = np.ones(4000, np.uint64)  # what is freed before it can't simply be cut off the heap's end
+    del held, x
+    before = resident()
+    common.give_back()
+    assert last.sum() == 4000
+    assert resident() < before - (16 << 20)

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slabmill.llm.common import shuffle_partitions, slices, small_batches
-from slabmill.llm.tokens import BYTE_LEVEL, CUT_BYTES, encoder
+from slabmill.llm.common import shuffle_partitions, slices, small_batches, sparing
+from slabmill.llm.tokens import BYTE_LEVEL, CUT_BYTES, REMEMBERED_BYTES, encoder
 
 MANIFEST = "manifest.json"
 WIDTHS = {2: "<u2", 4: "<u4"}
@@ -36,9 +36,9 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _write_part(folder: str, part: int, attempt: int, batches: Iterator[pa.RecordBatch], tokenizer_path: str, kind: str, end_id: int, dtype: str) -> tuple[int, int]:
+def _write_part(folder: str, part: int, attempt: int, batches: Iterator[pa.RecordBatch], tokenizer_path: str, kind: str, end_id: int, dtype: str, remember: int) -> tuple[int, int]:
     store, root = _store(folder)
-    end, width, encode = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize, encoder(tokenizer_path, kind, dtype).encode
+    end, width, encode = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize, encoder(tokenizer_path, kind, dtype, remember).encode
     lengths, keys, flags = [], [], []
     draft = f"{root}/.part-{part:05d}-{attempt}"
     with store.open_output_stream(f"{draft}.bin") as out:
@@ -61,14 +61,14 @@ def _write_part(folder: str, part: int, attempt: int, batches: Iterator[pa.Recor
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocabulary: int, key: str = "doc_id", text: str = "text", kind: str = BYTE_LEVEL
+    docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, vocabulary: int, key: str = "doc_id", text: str = "text", kind: str = BYTE_LEVEL, remember: int = REMEMBERED_BYTES,
 ) -> dict:
     """Encode every text, append ``end_id`` and write the dataset in ascending key order; returns the manifest.
 
     Rows are dealt once by ranges of (key, text hash), so a repeated key is spread too, and each task streams its sorted
     rows to its own files, renamed when complete: a lost or repeated task leaves no half part. The driver sees three
     numbers a part. NULL keys come first; a NULL text is empty (its end id only); other columns are not read.
-    ``folder`` may be any address that pyarrow's file systems open.
+    ``remember`` bounds the encoder's memory of chunks and changes no result. ``folder`` may be any address that pyarrow's file systems open.
     """
     small_batches(docs.sparkSession)
     dtype = WIDTHS[2 if max(vocabulary - 1, end_id) < 1 << 16 else 4]
@@ -80,10 +80,10 @@ def write_token_files(
     def write(batches):
         task = TaskContext.get()
         part = task.partitionId()
-        n, tokens = _write_part(folder, part, task.taskAttemptId(), batches, tokenizer_path, kind, end_id, dtype)
+        n, tokens = _write_part(folder, part, task.taskAttemptId(), batches, tokenizer_path, kind, end_id, dtype, remember)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, n, tokens)], schema=_PART)
 
-    parts = sorted(dealt.mapInArrow(write, "part long, docs long, tokens long").collect())
+    parts = sorted(dealt.mapInArrow(sparing(write), "part long, docs long, tokens long").collect())
     manifest, doc_base, token_base = {"dtype": dtype, "end_id": end_id, "parts": []}, 0, 0
     for part, n, tokens in parts:
         manifest["parts"].append({"name": f"part-{part:05d}", "docs": n, "tokens": tokens, "doc_base": doc_base, "token_base": token_base})

@@ -128,3 +128,12 @@ def test_packing_does_not_hang_on_the_encoders_memory(spark):
     path = public_tokenizer("word_bpe_49k.json")
     rows = lambda **bounds: sorted((r.doc_id, r.piece, r.start, r.ids, r.sequence_id, r.offset) for r in packing.pack_documents(docs, path, 1, **bounds).collect())
     assert rows(remember=1 << 16, cut=1 << 14) == rows()
+
+
+def test_token_files_do_not_hang_on_the_encoders_memory(spark, odd_docs, tmp_path):
+    def rows(name: str, **bounds):
+        place = f"file://{tmp_path}/{name}"
+        token_files.write_token_files(odd_docs, place, public_tokenizer("byte_bpe_50k.json"), 2, 50_257, **bounds)
+        return sorted((r.start, r.n_tokens, bytes(r.ids)) for r in token_files.read_token_files(spark, place).collect())
+
+    assert rows("little", remember=1 << 10) == rows("much", remember=96 << 20) == rows("default")

@@ -1,0 +1,30 @@
+"""What queries write: bytes of results and of shuffles, beside the rows themselves."""
+
+from __future__ import annotations
+
+from collections import Counter
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from slabmill.plans import events
+
+
+def stored_bytes(df, folder) -> int:
+    df.write.parquet(str(folder))
+    return sum(f.stat().st_size for f in Path(folder).glob("*.parquet"))
+
+
+def test_fan_out_takes_few_bytes_a_row(spark, tmp_path):
+    games = spark.range(1200).select(F.format_string("004%09d", F.col("id") * 37).alias("game_id"), F.concat(F.lit("T"), F.col("id") % 2).alias("winner_team"))
+    roster = spark.range(3000).select(F.col("id").cast("int").alias("player_id"), F.concat(F.lit("T"), F.col("id") % 3).alias("winner_team"))
+    out = events.on_roster(games, roster, "game_id", "player_id")
+    assert stored_bytes(out, tmp_path / "out") < 0.5 * 1200 * 1000
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 1200 * 1000
+
+
+def test_fan_out_keeps_repeated_and_null_rows(spark):
+    games = [("a", "T"), ("a", "T"), (None, "T"), ("b", None), ("c", "U"), *((f"g{i}", "T") for i in range(2 * events.RUN + 1))]
+    roster = [(1, "T"), (1, "T"), (2, "T"), (None, "T"), (3, None), (4, "V")]
+    out = events.on_roster(spark.createDataFrame(games, "game_id string, team string"), spark.createDataFrame(roster, "player_id int, team string"), "game_id", "player_id")
+    assert Counter(map(tuple, out.collect())) == Counter((g, p) for g, a in games for p, b in roster if a == b and a)

@@ -156,9 +156,8 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One whole row per key with the least ``order``; combines map-side."""
+    """One whole row per key with the least ``order``, and of equals that with the least other columns; combines map-side and carries a column once."""
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("_row")
-    )
+    placed = [*dict.fromkeys(c for c in order if c in rest), *(c for c in rest if c not in order)]
+    picked = df.groupBy(*keys).agg(F.min(F.struct(*placed)).alias("_row"))
     return picked.select(*keys, "_row.*").select(*df.columns)

@@ -67,7 +67,7 @@ class Bridge:
         )
 
     @staticmethod
-    def sales_from_lines(lines: DataFrame) -> DataFrame:
+    def sales_from_lines(lines: DataFrame, *more: str) -> DataFrame:
         price = F.col("l_extendedprice") / F.col("l_quantity")
         return lines.select(
             F.concat_ws(
@@ -85,6 +85,7 @@ class Bridge:
             F.when(F.col("l_returnflag") != "N", (6 + F.col("l_linenumber") % 5).cast("double")).alias("slab_grade"),
             F.concat_ws("-", F.col("l_partkey"), F.col("l_suppkey")).alias("cert_number"),
             (F.col("l_extendedprice") * F.col("l_tax") / F.col("l_quantity")).alias("fee_estimate"),
+            *more,
         )
 
     @cached_property
@@ -93,13 +94,15 @@ class Bridge:
 
     @cached_property
     def tx_raw(self) -> DataFrame:
-        t = self.sales_from_lines(self.dealt("lineitem")).select("tx_id", "card_id", "sold_at", "price_usd", "slab_grader", "slab_grade")
-        c = self.card_master.select("card_id", "card_year", "manufacturer", "parallel", "card_number")
+        # Lines meet their cards as they are stored: the texts made of them are several times as long.
+        c = self.card_master.select(F.col("card_id").alias("_card"), "card_year", "manufacturer", "parallel", "card_number")
+        lines = self.dealt("lineitem").join(c, F.col("l_partkey") == F.col("_card"))
+        t = self.sales_from_lines(lines, "card_year", "manufacturer", "parallel", "card_number")
         slab = F.when(
             F.col("slab_grader").isNotNull(),
             F.concat(F.col("slab_grader"), F.lit(" "), F.col("slab_grade").cast("int").cast("string")),
         )
-        return t.join(c, "card_id").select(
+        return t.select(
             F.col("tx_id").alias("raw_id"),
             F.when(F.col("slab_grader").isNull(), "ebay_active").otherwise("ebay").alias("source"),
             F.concat_ws(

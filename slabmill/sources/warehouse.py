@@ -54,14 +54,14 @@ class Warehouse:
             columns.append(value.cast(f.dataType).alias(f.name))
         return df.select(*columns)
 
-    def _write(self, df: DataFrame, name: str, mode: str) -> int:
-        """Write and return the row count measured during the write itself."""
+    def _write(self, df: DataFrame, name: str, mode: str, dealt: bool = False) -> int:
+        """Write and return the row count measured during the write itself; rows that are ``dealt`` by their key stay where they are."""
         seen = Observation()
         parts = self.tables[name].partitions
         out = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        if parts:
+        if parts and not dealt:
             out = out.repartition(*[F.col(p) for p in parts], F.pmod(F.xxhash64(*self.tables[name].key), F.lit(64)))
-        writer = out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        writer = out.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         (writer.partitionBy(*parts) if parts else writer).parquet(self.path(name))
         try:
             return int(seen.get["n"])
@@ -75,7 +75,8 @@ class Warehouse:
         rows = self.conform(df, name)
         ranked = first_by(rows, key, list(order or [c for c in rows.columns if c not in key]) or key)
         fresh = ranked.join(self.read_table(name).select(*key), key, "left_anti")
-        return self._write(fresh.select(*rows.columns), name, "append")
+        # Where a key names its partition, the exchange by key is the only one.
+        return self._write(fresh.select(*rows.columns), name, "append", dealt=set(self.tables[name].partitions) <= set(key))
 
     def upsert(self, df: DataFrame, name: str, order: Sequence[str] | None = None) -> int:
         """Insert or replace by key, rewriting only the partitions the batch touches; returns the number of keys in the batch.

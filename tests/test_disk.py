@@ -7,7 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from slabmill.operators.asof import first_by
 from slabmill.plans import events
+from slabmill.sources.warehouse import Warehouse
 
 
 def stored_bytes(df, folder) -> int:
@@ -28,3 +30,24 @@ def test_fan_out_keeps_repeated_and_null_rows(spark):
     roster = [(1, "T"), (1, "T"), (2, "T"), (None, "T"), (3, None), (4, "V")]
     out = events.on_roster(spark.createDataFrame(games, "game_id string, team string"), spark.createDataFrame(roster, "player_id int, team string"), "game_id", "player_id")
     assert Counter(map(tuple, out.collect())) == Counter((g, p) for g, a in games for p, b in roster if a == b and a)
+
+
+def test_inserted_rows_are_exchanged_once(spark, tmp_path, monkeypatch):
+    rows = spark.range(2000).select(
+        F.concat(F.lit("id-"), F.col("id") % 1500).alias("external_id"), F.lit("ebay").alias("source"), F.concat(F.lit("title "), F.col("id")).alias("raw_title")
+    )
+    wh = Warehouse(spark, str(tmp_path))
+
+    def exchanged_again(*_):
+        raise AssertionError("rows that lie by their key need no second exchange")
+
+    monkeypatch.setattr(type(rows), "repartition", exchanged_again)
+    assert wh.insert_if_absent(rows, "tx_raw") == 1500 and wh.insert_if_absent(rows, "tx_raw") == 0
+    assert {r["external_id"]: r["raw_title"] for r in wh.read_table("tx_raw").where("external_id in ('id-7', 'id-1499')").collect()} == {"id-7": "title 1507", "id-1499": "title 1499"}
+
+
+def test_the_first_row_of_a_key_carries_a_column_once(spark):
+    df = spark.createDataFrame([(1, "b", None), (1, "a", "y"), (1, "a", "x"), (2, None, "z"), (2, "c", "q")], "k int, a string, b string")
+    first = first_by(df, ["k"], ["a", "b"])
+    assert sorted(map(tuple, first.collect())) == [(1, "a", "x"), (2, None, "z")]
+    assert "min_by" not in first._jdf.queryExecution().optimizedPlan().toString()

@@ -113,10 +113,9 @@ def review_actions(candidates: DataFrame, actions: DataFrame) -> DataFrame:
     """
     last = latest_by(actions, ["raw_id"], ["seq"])
     edits = [f for f in IDENTITY_FIELDS if f"new_{f}" in actions.columns]
-    # Reviewers touch few rows; only those carry the key and JSON work.
-    untouched = candidates.join(last.select("raw_id"), "raw_id", "left_anti")
-    joined = candidates.join(last, "raw_id")
-    act = F.col("action")
+    # Reviewers touch few rows; only those carry the key and JSON work, and all are exchanged once.
+    joined = candidates.join(last.withColumn("_touched", F.lit(True)), "raw_id", "left")
+    act, touched = F.col("action"), F.col("_touched")
     update = act == "update"
     fields = {
         f: F.when(update, F.coalesce(F.nullif(F.col(f"new_{f}"), F.lit("")) if f in TEXT_FIELDS else F.col(f"new_{f}"), F.col(f))).otherwise(F.col(f))
@@ -134,15 +133,14 @@ def review_actions(candidates: DataFrame, actions: DataFrame) -> DataFrame:
         },
     )
     settled = act.isin("approve", "update", "reject")
-    touched = joined.select(
+    return joined.select(
         "raw_id",
         F.when(update, canonical_key(fields)).otherwise(F.col("canonical_key")).alias("canonical_key"),
         *[fields[f].alias(f) for f in IDENTITY_FIELDS],
         F.when(act.isin("approve", "update"), 1.0).otherwise(F.col("confidence")).alias("confidence"),
-        (F.col("needs_review") & ~settled).alias("needs_review"),
+        F.when(touched, F.col("needs_review") & ~settled).otherwise(F.col("needs_review")).alias("needs_review"),
         F.when(settled, evidence).otherwise(F.col("evidence_json")).alias("evidence_json"),
     )
-    return touched.unionByName(untouched.select(*touched.columns))
 
 
 TEXT_FIELDS = ("player_name", "manufacturer", "set_name", "subset", "card_number", "parallel", "slab_grader")
@@ -181,8 +179,10 @@ def sales_to_raw(sales: DataFrame) -> DataFrame:
 
 def import_sales(sales: DataFrame, stored: DataFrame, card: DataFrame, allow_clean: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new raw rows, new clean rows, one row of counts); known external ids are skipped."""
-    raw = stage(sales_to_raw(sales), "import_raw")
-    fresh = raw.join(stored.where(F.col("source") == sale_text.SOURCE).select("external_id"), "external_id", "left_anti")
+    known = stored.where(F.col("source") == sale_text.SOURCE).select("external_id").distinct().withColumn("_known", F.lit(True))
+    # Known ids are marked where the rows of an id have met, before they are stored: then nothing is exchanged again.
+    raw = stage(sales_to_raw(sales).join(known, "external_id", "left"), "import_raw")
+    fresh = raw.where(F.col("_known").isNull()).drop("_known")
     fresh = stage(with_title_fields(fresh.withColumn("raw_id", F.col("external_id"))), "import_parsed")
     good, bad = confidence_gate(fresh)
     if not allow_clean:
